@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import strings, table, tidy
 
 RESERVED = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -97,7 +97,7 @@ def fragments(turns: DataFrame, vocab: str | None = None, *, train_role: str = "
             )
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.mapInArrow(run, "conv_id long, turn long, ids binary, mask binary, n_ids long")
+    return rows.mapInArrow(tidy(run), "conv_id long, turn long, ids binary, mask binary, n_ids long")
 
 
 def placed(frags: DataFrame) -> DataFrame:
@@ -149,9 +149,9 @@ def digests(frags: DataFrame, vocab: str | None = None) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
 
-    read = frags.mapInArrow(back, "conv_id long, turn long, role string, text string, loss string, chars long")
+    read = frags.mapInArrow(tidy(back), "conv_id long, turn long, role string, text string, loss string, chars long")
     ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(stream), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 CONTROL_SAMPLE = "<|im_end|><|im_start|>assistant ok"

@@ -15,7 +15,6 @@ item_id counts as the empty string; repeated rows are judged each on its own; an
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, table, utf8
+from .common import runs, table, tidy, utf8
 
 WINDOW = 13
 #: A-Z is lowered; bytes of the class [0-9a-z] and all non-ASCII bytes stay; the rest become blanks.
@@ -173,7 +172,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in lists of at most about ``shard_words`` words, one partition of the table at a time on the driver."""
+    """Items in lists of about ``shard_words`` words at most, one partition of the table at a time on the driver; one
+    empty list if there are none."""
     held, n = [], 0
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
@@ -183,15 +183,16 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -
             held, n = [], 0
         held.append((r.i, words))
         n += len(words)
-    if held:
-        yield held
+    yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 1_000_000) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_spans`` (binary: pairs of int64 word positions, merged) and ``_items`` (sorted)."""
+    """``docs`` with ``_n_words``, ``_n_hit``, ``_longest`` (words of the longest hit span), ``_spans`` (binary: pairs of
+    int64 word positions, merged) and ``_items`` (sorted)."""
     spark = docs.sparkSession
     names = docs.columns
-    df = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")})
+    empty = {"_n_words": "long", "_n_hit": "long", "_longest": "long", "_spans": "binary", "_items": "array<string>"}
+    df = docs.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
     schema = df.schema
     for items in shards(benchmark, item_id, item_text, shard_words):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(items, window))
@@ -200,76 +201,68 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
             machine = shared.value
             for whole in batches:
                 texts = utf8(whole, text_col)
-                for a, b in runs(map(len, texts), 4_000_000):
+                for a, b in runs(map(len, texts), 2_000_000):
                     part = whole.slice(a, b - a)
                     split = [words_of(t) for t in texts[a:b]]
-                    spans, found = [], []
+                    every, found = [], []
                     for (ranges, names_), before, had in zip(machine.hits(split), part.column("_spans").to_pylist(), part.column("_items").to_pylist(), strict=True):
                         if before:
                             ranges = merged(ranges + [tuple(x) for x in np.frombuffer(before, "<i8").reshape(-1, 2).tolist()])
-                        spans.append(np.array(ranges, "<i8").tobytes() if ranges else None)
+                        every.append(ranges)
                         found.append(sorted(names_.union(had or ())))
-                    new = {"_n_words": pa.array([len(w) for w in split], pa.int64()), "_spans": pa.array(spans, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
+                    new = {
+                        "_n_words": pa.array([len(w) for w in split], pa.int64()),
+                        "_n_hit": pa.array([sum(y - x for x, y in r) for r in every], pa.int64()),
+                        "_longest": pa.array([max((y - x for x, y in r), default=0) for r in every], pa.int64()),
+                        "_spans": pa.array([np.array(r, "<i8").tobytes() if r else None for r in every], pa.binary()),
+                        "_items": pa.array(found, pa.list_(pa.string())),
+                    }
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new.values()], names=[*names, *new])
 
-        df = df.mapInArrow(run, schema)
-    if df.schema == schema and not any(True for _ in benchmark.take(1)):
-        df = df.withColumn("_n_words", F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))).cast("long"))
+        df = df.mapInArrow(tidy(run), schema)
     return df
 
 
 def judged(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from ``scan``'s columns, by the 1-in-20 rule."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, spans, items = (b.column(c).to_pylist() for c in ("_n_words", "_spans", "_items"))
-            hit = [int(np.diff(np.frombuffer(s, "<i8").reshape(-1, 2)).sum()) if s else 0 for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(id_col),
-                    b.column("_n_words"),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(i) for i in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    kind = dict(scanned.dtypes)[id_col]
-    return scanned.select(id_col, "_n_words", "_spans", "_items").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", coverage: float = 0.05, longest: int | None = None, cut_rest: bool = False, **how) -> DataFrame:
-    """``docs`` without those whose hit words reach ``coverage`` of all words, or whose longest hit span exceeds
+    return scanned.select(
+        F.col(id_col).alias("doc_id"),
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))).alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, longest: int | None = None, cut_rest: bool = False, **how) -> DataFrame:
+    """``docs`` without those in which one word in ``share`` or more is hit, or whose longest hit span exceeds
     ``longest`` words (None: no such limit). ``cut_rest``: remove the hit spans from the texts that stay."""
     names = docs.columns
+    found = scan(docs, benchmark, text_col=text_col, **how)
+    bad = (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words"))
+    if longest is not None:
+        bad = bad | (F.col("_longest") > longest)
+    found = found.filter(~bad)
+    if not cut_rest:
+        return found.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keep = b.column(text_col).to_pylist(), []
-            for i, (n, s) in enumerate(zip(b.column("_n_words").to_pylist(), b.column("_spans").to_pylist(), strict=True)):
+            texts = b.column(text_col).to_pylist()
+            for i, s in enumerate(b.column("_spans").to_pylist()):
                 if not s:
-                    keep.append(i)
-                    continue
-                ranges = np.frombuffer(s, "<i8").reshape(-1, 2)
-                size = np.diff(ranges).ravel()
-                if size.sum() >= coverage * n or (longest is not None and size.max() > longest):
                     continue
-                keep.append(i)
-                if cut_rest:
-                    raw = texts[i].encode()
-                    at = [m.span() for m in _WORD.finditer(raw)]
-                    out, last = [], 0
-                    for x, y in ranges.tolist():
-                        out.append(raw[last : at[x][0]])
-                        last = at[y - 1][1]
-                    texts[i] = b"".join([*out, raw[last:]]).decode()
-            cols = [pa.array(texts, b.column(c).type) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names).take(pa.array(keep, pa.int64()))
-
-    return scan(docs, benchmark, text_col=text_col, **how).mapInArrow(run, docs.schema)
+                raw = texts[i].encode()
+                at = [m.span() for m in _WORD.finditer(raw)]
+                out, last = [], 0
+                for x, y in np.frombuffer(s, "<i8").reshape(-1, 2).tolist():
+                    out.append(raw[last : at[x][0]])
+                    last = at[y - 1][1]
+                texts[i] = b"".join([*out, raw[last:]]).decode()
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(c).type) if c == text_col else b.column(c) for c in names], names=names)
+
+    return found.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

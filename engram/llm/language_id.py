@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, runs, strings, summed, table
+from .common import held_out, runs, strings, summed, table, tidy
 
 UND = "und"
 _SPACE = 32
@@ -132,7 +132,7 @@ def train(rows: DataFrame, *, bits: int = 16, share: float = 0.4, text_col: str
         for k, counts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["chunk", "part", "payload"])
 
-    got = summed(rows.mapInArrow(run, "chunk int, part int, payload binary"), "<i8") if langs else {}
+    got = summed(rows.mapInArrow(tidy(run), "chunk int, part int, payload binary"), "<i8") if langs else {}
     counts = np.stack([got.get(k, np.zeros(2 * size, np.int64)) for k in range(len(langs))]) if langs else np.zeros((0, 2 * size), np.int64)
     prior = int(counts.sum(1).argmax()) if langs else 0
     return Model(langs, counts[:, :size], counts[:, size:], share, bits, prior)
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat_format import encoder
-from .common import cut, strings, table
+from .common import cut, strings, table, tidy
 
 CAPACITY, END_ID = 1024, 2
 _SPECIAL = "<|endoftext|>"
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, *, vocab: tuple[str, str] | None = None, capacity: i
             )
 
     rows = docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} as text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, runs, summed, table, utf8
+from .common import held_out, mix64, runs, summed, table, tidy, utf8
 
 MAX_LABELLED = 20_000
 ROWS, DIMS, CHUNKS, REACH = 8192, 64, 8, 2
@@ -41,7 +41,7 @@ class RowOf(dict):
     def __missing__(self, token: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         text = token.decode("utf-8", "replace")
         if len(text) > 1 and text.isupper():
@@ -80,7 +80,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total, known, (plus, minus) = np.zeros(ROWS * DIMS, np.int64), RowOf(), index_vectors()
         for b in batches:
             texts = utf8(b, "text")
-            for x, y in runs(map(len, texts), 4_000_000):
+            for x, y in runs(map(len, texts), 2_000_000):
                 rows, _ = rows_of(texts[x:y], known)
                 for d in range(1, REACH + 1):
                     left, right = rows[:-d], rows[d:]
@@ -95,7 +95,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             names=["chunk", "part", "payload"],
         )
 
-    got = summed(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "chunk int, part int, payload binary"), "<i8")
+    got = summed(docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "chunk int, part int, payload binary"), "<i8")
     step = ROWS * DIMS // CHUNKS
     v = np.concatenate([got.get(i, np.zeros(step)) for i in range(CHUNKS)]).reshape(ROWS, DIMS).astype(np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
@@ -176,7 +176,7 @@ def features(docs: DataFrame, vectors, others: list[str], text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary())], names=[*others, "x"])
 
     rows = docs.select(*others, text_col)
-    return rows.mapInArrow(run, docs.select(*others).schema.add("x", "binary"))
+    return rows.mapInArrow(tidy(run), docs.select(*others).schema.add("x", "binary"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED):
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model, *, text_col: str = "text", threshold: float =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "_score", "_predicted"])
 
     schema = docs.select(*names).schema.add("_score", "double").add("_predicted", "integer")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, mix64, runs, table, utf8
+from .common import WordIds, cut, mix64, runs, table, tidy, utf8
 from .fm_index import FMIndex, repeated_range
 
 WIDTH, GRAM, HOT, SHARD_WORDS = 35, 5, 20_000, 400_000
@@ -78,7 +78,7 @@ def stretches(a: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int =
     return g[anchor[edge]], valid[edge], np.diff(np.append(edge, len(valid)))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], ids: WordIds, most: int = 4_000_000):
+def _batches(batches: Iterator[pa.RecordBatch], ids: WordIds, most: int = 2_000_000):
     """(batch, words of each row, ids of all words, bounds) in parts of about ``most`` bytes."""
     for whole in batches:
         texts = utf8(whole, "text")
@@ -100,7 +100,7 @@ def anchor_counts(rows: DataFrame, width: int) -> DataFrame:
             anchors, n = np.unique(stretches(a, bounds, width)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
-    return rows.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    return rows.select("text").mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
 def anchored(rows: DataFrame, width: int) -> DataFrame:
@@ -115,7 +115,7 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), b.column("doc_id").take(at), b.column("th").take(at), pa.array((first - bounds[doc]) * 64 + n)], names=["anchor", "content", "doc_id", "th", "place"])
 
-    return rows.mapInArrow(run, "anchor long, content long, doc_id long, th int, place long")
+    return rows.mapInArrow(tidy(run), "anchor long, content long, doc_id long, th int, place long")
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -144,7 +144,7 @@ def _payload(docs: DataFrame, width: int) -> DataFrame:
             at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "th", "anchor", "place", "n", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, th int, anchor long, place long, n long, words binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, th int, anchor long, place long, n long, words binary")
 
 
 def _search(width: int, shard_words: int):
@@ -204,7 +204,7 @@ def _windows(payload: DataFrame, width: int) -> DataFrame:
                 begin = np.array(part.column("place").to_pylist(), np.int64) >> 6
                 yield pa.RecordBatch.from_arrays([_signed(h), part.column("n").take(at), part.column("doc_id").take(at), part.column("th").take(at), pa.array(begin[row] + offset)], names=["h", "n", "doc_id", "th", "a"])
 
-    return payload.mapInArrow(run, "h long, n long, doc_id long, th int, a long")
+    return payload.mapInArrow(tidy(run), "h long, n long, doc_id long, th int, a long")
 
 
 def repeated_ranges(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -218,7 +218,7 @@ def repeated_ranges(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT, shar
     kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     picked = contents.join(kinds, "anchor").select("anchor", "n", "one.doc_id", "one.th", "one.place", (F.col("kinds") > hot).alias("hot"))
     payload = _payload(_with_text(picked.filter("not hot"), docs), width)
-    searched = payload.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "place").mapInArrow(_search(width, shard_words), "doc_id long, th int, a long, b long")
+    searched = payload.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "place").mapInArrow(tidy(_search(width, shard_words)), "doc_id long, th int, a long, b long")
     out = copied.unionByName(searched)
     if kinds.filter(F.col("kinds") > hot).take(1):
         windows = _windows(_payload(_with_text(picked.filter("hot"), docs), width), width)
@@ -254,7 +254,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=names)
 
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return met.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

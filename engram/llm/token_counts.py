@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, utf8
+from .common import table, tidy, utf8
 
 END = 256
 UNKNOWN = -1
@@ -126,7 +126,7 @@ def automaton(path: str) -> LongestMatch:
 class WordCounts(dict):
     """Word to piece count, remembered up to a bound."""
 
-    def __init__(self, machine: LongestMatch, most: int = 1_000_000):
+    def __init__(self, machine: LongestMatch, most: int = 300_000):
         super().__init__()
         self._machine, self._most = machine, most
 
@@ -151,7 +151,7 @@ def counts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
 
     rows = docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} as text")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
