@@ -92,18 +92,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordIds(dict):
-    """Word (bytes) to a 64-bit hash, remembered up to a bound so that memory stays bounded."""
+    """Word (bytes) to a 64-bit hash; the first words are remembered, up to a bound."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         super().__init__()
         self._hash, self._most = xxhash.xxh3_64_intdigest, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self._most:
-            self.clear()
-        self[word] = value = self._hash(word)
+        value = self._hash(word)
+        if len(self) < self._most:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

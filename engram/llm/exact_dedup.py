@@ -41,21 +41,23 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, h
     keys = ["_len", "_prefix"]
     rows = scan.select("doc_id", "_chars", *keys, *([F.sha2("_norm", 256).alias("_sha")] if hash_all else []))
     rows = cut(rows)
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
-    prefixes = rows.join(lengths, "_len", "left_semi").groupBy(*keys).count().filter("count > 1").select(*keys)
+    # Written first, so that both sides of each join come from plain exchanges, whose hot partitions can be split.
+    lengths = cut(rows.groupBy("_len").count().filter("count > 1").select("_len"))
+    close = cut(rows.join(lengths, "_len", "left_semi"))
+    prefixes = cut(close.groupBy(*keys).count().filter("count > 1").select(*keys))
     if hash_all:
-        hashed = rows.join(prefixes, keys, "left_semi")
+        hashed = cut(close.join(prefixes, keys, "left_semi"))
     else:
         hashed = cut(scan.join(prefixes, keys, "left_semi").select("doc_id", "_chars", *keys, F.sha2("_norm", 256).alias("_sha")))
     first = F.struct((-F.col("_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
     groups = hashed.groupBy(*keys, "_sha").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    groups = groups.select(*keys, "_sha", F.col("_first.c").alias("_keep"), F.col("_n"))
+    groups = cut(groups.select(*keys, "_sha", F.col("_first.c").alias("_keep"), F.col("_n")))
     if not hash_all:
         alone = rows.join(prefixes, keys, "left_anti").withColumn("_sha", F.lit(None).cast("string"))
         rows = hashed.unionByName(alone)
     # Rows that repeat an id within a group can't be told apart: they are counted, then dealt out again, one of them kept.
     rows = rows.groupBy("doc_id", "_chars", *keys, "_sha").agg(F.count(F.lit(1)).alias("_same"))
-    met = rows.join(groups, [*keys, "_sha"], "left")
+    met = cut(rows).join(groups, [*keys, "_sha"], "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     # A repeated id may occur with more than one spelling of the text; the one with most code points is kept.
     stays = keep.eqNullSafe(F.col("doc_id"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import held_out, mix64, runs, summed, table, tidy, utf8
 
 MAX_LABELLED = 20_000
-ROWS, DIMS, CHUNKS, REACH = 8192, 64, 8, 2
+ROWS, DIMS, CHUNKS, REACH = 8192, 32, 8, 2
 THRESHOLD = 0.3
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 #: Rows kept for a word in capitals, a word equal to the one before, and the gap between documents.
@@ -36,19 +36,18 @@ CAPITALS, AGAIN, GAP = 0, 1, 2
 
 
 class RowOf(dict):
-    """Token to its row of the vector table."""
+    """Token to its row of the vector table; the first tokens are remembered, up to a bound."""
 
-    def __missing__(self, token: bytes) -> int:
+    def __init__(self, most: int = 200_000):
         import xxhash
 
-        if len(self) > 300_000:
-            self.clear()
-        text = token.decode("utf-8", "replace")
-        if len(text) > 1 and text.isupper():
-            row = CAPITALS
-        else:
-            row = 3 + xxhash.xxh3_64_intdigest(token.lower()) % (ROWS - 3)
-        self[token] = row
+        super().__init__()
+        self._hash, self._most = xxhash.xxh3_64_intdigest, most
+
+    def __missing__(self, token: bytes) -> int:
+        row = CAPITALS if token.isupper() and len(token) > 1 else 3 + self._hash(token.lower()) % (ROWS - 3)
+        if len(self) < self._most:
+            self[token] = row
         return row
 
 
@@ -104,7 +103,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray, known: RowOf) -> np.ndarray:
     """Mean of each text's word vectors and its length, the mean over its distinct-neighbour rows, and the shares of the kept rows."""
     out = np.zeros((len(texts), DIMS + 3), np.float32)
-    for x, y in runs(map(len, texts), 2_000_000):
+    for x, y in runs(map(len, texts), 50_000):  # so that the gathered vectors stay in the processor's cache
         rows, starts = rows_of(texts[x:y], known)
         n = np.diff(starts) - 1
         v = vectors[rows]

@@ -210,7 +210,9 @@ def _windows(payload: DataFrame, width: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, th, a, b): word ranges covered by repeated windows; ``docs`` has doc_id, text and th (a hash of the text)."""
     stretch = anchored(docs, width)
-    found = cut(stretch.join(anchor_counts(docs, width), "anchor", "left_semi"))
+    # Written first, so that both sides of the join come from plain exchanges, whose hot partitions can be split.
+    repeated = cut(anchor_counts(docs, width))
+    found = cut(stretch.join(repeated, "anchor", "left_semi"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")).alias("one")
     contents = cut(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first))
     width_of = (F.shiftright("place", 6), F.shiftright("place", 6) + F.col("place").bitwiseAND(63) + (width - 1))

@@ -124,16 +124,16 @@ def automaton(path: str) -> LongestMatch:
 
 
 class WordCounts(dict):
-    """Word to piece count, remembered up to a bound."""
+    """Word to piece count; the first words are remembered, up to a bound."""
 
     def __init__(self, machine: LongestMatch, most: int = 300_000):
         super().__init__()
         self._machine, self._most = machine, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self._most:
-            self.clear()
-        self[word] = n = self._machine.count((*word, END))
+        n = self._machine.count((*word, END))
+        if len(self) < self._most:
+            self[word] = n
         return n
 
 
