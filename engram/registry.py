@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import base, memory, scalar, vectors  # noqa: F401  registering
+
 FLAGSHIP = "L1_recall"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
