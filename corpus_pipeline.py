@@ -16,7 +16,7 @@ from engram.llm.common import checkpoint_dir, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep_text=True).filter("_predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` under column names that clash with nothing, the new name of each column, and the way back."""
+    prefix = "engram_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    new = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new, lambda df: df.select(*(F.col(n).alias(c) for c, n in new.items()))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5; a null id counts as empty text, so it is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, table, tidy, utf8
+from .common import runs, shielded, table, tidy, utf8
 
 WINDOW = 13
 #: A-Z is lowered; bytes of the class [0-9a-z] and all non-ASCII bytes stay; the rest become blanks.
@@ -238,14 +238,15 @@ def judged(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, longest: int | None = None, cut_rest: bool = False, **how) -> DataFrame:
     """``docs`` without those in which one word in ``share`` or more is hit, or whose longest hit span exceeds
     ``longest`` words (None: no such limit). ``cut_rest``: remove the hit spans from the texts that stay."""
-    names = docs.columns
+    docs, new, back = shielded(docs)
+    names, text_col = docs.columns, new[text_col]
     found = scan(docs, benchmark, text_col=text_col, **how)
     bad = (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words"))
     if longest is not None:
         bad = bad | (F.col("_longest") > longest)
     found = found.filter(~bad)
     if not cut_rest:
-        return found.select(*names)
+        return back(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,7 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", shar
                 texts[i] = b"".join([*out, raw[last:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(c).type) if c == text_col else b.column(c) for c in names], names=names)
 
-    return found.mapInArrow(tidy(run), docs.schema)
+    return back(found.mapInArrow(tidy(run), docs.schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

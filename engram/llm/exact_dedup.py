@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, table
+from .common import BLANKS, cut, shielded, table
 
 PREFIX = 256
 
@@ -76,16 +76,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids that occur once are kept or dropped by a join on the id. Rows of ids that occur more than once are
     settled by comparing normalised texts among those rows only.
     """
+    docs, new, back = shielded(docs)
+    id_col, text_col = new[id_col], new[text_col]
     verdicts = cut(decide(docs, id_col, text_col, prefix=prefix))
     ids = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_kept"))
     drop = ids.filter("_rows > 1 or _kept = 0").select(F.col("doc_id").alias("_id"), "_rows")
     met = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    single = met.filter("_rows is null").select(*[docs[c] for c in docs.columns])
-    again = met.filter("_rows > 1").select(*[docs[c] for c in docs.columns], F.sha2(normalised(docs[text_col]), 256).alias("_sha"), F.length(F.coalesce(docs[text_col], F.lit(""))).alias("_chars"))
-    again = again.groupBy(F.col(id_col).alias("_id"), "_sha").agg(F.max_by(F.struct(*[F.col(c) for c in docs.columns]), "_chars").alias("_row"))
+    single = met.filter("_rows is null").select(*docs.columns)
+    again = met.filter("_rows > 1").select(*docs.columns, F.sha2(normalised(F.col(text_col)), 256).alias("_sha"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"))
+    again = again.groupBy(F.col(id_col).alias("_id"), "_sha").agg(F.max_by(F.struct(*docs.columns), "_chars").alias("_row"))
     gone = verdicts.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_any")).filter("text_sha256 is not null and not _any")
     again = again.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256")), "left_anti")
-    return single.unionByName(again.select("_row.*"))
+    return back(single.unionByName(again.select("_row.*")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ class Model:
         self.masks, fill = [], []
         for counts in (first, second):  # [language, position]
             rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-            held = (counts > 0) & (rate >= share * rate.max(0, keepdims=True))
+            held = (counts > 0) & (rate >= share * rate.max(0, initial=0, keepdims=True))
             mask = np.zeros((1 << bits, words), np.uint64)
             for k in range(len(langs)):
                 mask[:, k // 64] |= held[k].astype(np.uint64) << np.uint64(k % 64)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, runs, summed, table, tidy, utf8
+from .common import held_out, mix64, runs, shielded, summed, table, tidy, utf8
 
 MAX_LABELLED = 20_000
 ROWS, DIMS, CHUNKS, REACH = 8192, 32, 8, 2
@@ -207,6 +207,12 @@ def score(docs: DataFrame, model, *, text_col: str = "text", threshold: float =
     return docs.mapInArrow(tidy(run), schema)
 
 
+def keep_good(docs: DataFrame, model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` that the classifier accepts, all columns as they came."""
+    docs, new, back = shielded(docs)
+    return back(score(docs, model, text_col=new[text_col], threshold=threshold, keep_text=True).filter("_predicted = 1"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the quality of every document, learned from labels of rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")

@@ -1,0 +1,333 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from engram.llm import chat_format, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts
+from engram.llm.common import WordIds, table
+from engram.llm.fm_index import FMIndex, repeated_range
+from engram.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in table(spark, DATA, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    cur = con.execute(ORACLES[name])
+    cols = [x[0] for x in cur.description]
+    assert sorted(cur.fetchall(), key=str) == sorted((tuple(r[c] for c in cols) for r in QUERIES[name](spark, DATA).select(*cols).collect()), key=str)
+
+
+# PII
+
+
+def plain_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        s = sum(int(c) if i % 2 == 0 else (2 * int(c) if int(c) < 5 else 2 * int(c) - 9) for i, c in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and s % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.findall("[0-9]", m.group())) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.-+ ()0123456789é_", max_size=80))
+def test_base_spans_random(t):
+    assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_pii_query(spark, texts):
+    for r in pii.query(spark, DATA).collect():
+        want = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.written(want).encode()).hexdigest()
+        assert set(filter(None, pii.written(want).split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def test_detector_adds_what_the_base_misses():
+    rng = np.random.default_rng(0)
+    made = [f"call me at +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} or write to ann{i}@site{i}.com id a{rng.integers(10**9)}f" for i in range(200)]
+    got = [x for t in made for x in pii.examples(t)]
+    d = pii.Detector(np.array([f for f, _ in got]), np.array([y for _, y in got], float))
+    text = "call me at (743) 555-3824 today"
+    assert [text[s:e] for s, k, e in d.added(text, [])] == ["(743) 555-3824"]
+    assert d.added("released in 2024 after 12 rounds", []) == []
+    assert pii.redacted("mail a@b.co now", pii.base_spans("mail a@b.co now")) == "mail [EMAIL] now"
+
+
+# Language and quality
+
+
+def test_language_accuracy(spark):
+    got = QUERIES["op2_language_id"](spark, DATA).join(table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+
+
+def test_quality_ranks_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.query(spark, d).join(table(spark, d, "labels"), "doc_id").filter("held_out").collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+
+
+# Packing
+
+
+def test_packing_query(spark, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocab()[0])
+    rows = collections.defaultdict(list)
+    bins = collections.defaultdict(list)
+    for r in packing.query(spark, DATA).collect():
+        rows[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    import zlib
+
+    for i, t in texts.items():
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        own = sorted(rows[i], key=lambda r: r.piece)
+        assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and sum(r.length for r in own) == len(ids)
+        assert all(r.length == 1024 for r in own[1:])
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= 1.01 * packing.lower_bound(np.array([n for b in bins.values() for _, n in b])) + 1
+
+
+def test_exchange_needs_no_more_bins(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(200, 700, 2000))], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    once = packing.pack(rows, per_partition=100, rounds=0).select("sequence_id").distinct().count()
+    more = packing.pack(rows, per_partition=100, rounds=4)
+    assert more.count() == 2000 and more.select("sequence_id").distinct().count() <= once
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 1024), min_size=1, max_size=60))
+def test_bound_and_packing_random(sizes):
+    a = np.array(sizes)
+    bins, offset, used = packing.best_fit_decreasing(a)
+    assert packing.lower_bound(a) <= used and np.bincount(bins, weights=a).max() <= 1024 and -(-a.sum() // 1024) <= packing.lower_bound(a)
+
+
+def test_special_token_text_gets_the_files_ids():
+    from tokenizers import Tokenizer
+
+    t = "a <|endoftext|> b"
+    assert packing.ids_of(t, packing.default_vocab())[:-1].tolist() == Tokenizer.from_file(packing.default_vocab()[0]).encode(t, add_special_tokens=False).ids
+
+
+# Decontamination
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=7), max_size=4), st.lists(st.sampled_from("abcd"), max_size=25))
+def test_suffix_automaton_random(items, doc):
+    w = 3
+    named = [(str(i), [c.encode() for c in x]) for i, x in enumerate(items)]
+    ranges, names = decontaminate.SuffixAutomaton(named, w).hits([[c.encode() for c in doc]])[0]
+    hit, found = set(), set()
+    for i, x in enumerate(items):
+        k = min(w, len(x))
+        windows = {tuple(x[j : j + k]) for j in range(len(x) - k + 1)} if x else set()
+        for j in range(len(doc) - k + 1):
+            if k and tuple(doc[j : j + k]) in windows:
+                hit |= set(range(j, j + k))
+                found.add(str(i))
+    assert {p for a, b in ranges for p in range(a, b)} == hit and names == found
+
+
+def test_shards_agree(spark):
+    docs, bench = (table(spark, DATA, t) for t in ("documents", "benchmark"))
+    a = decontaminate.judged(decontaminate.scan(docs, bench)).collect()
+    b = decontaminate.judged(decontaminate.scan(docs, bench, shard_words=400)).collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_cut_rest(spark):
+    docs = spark.createDataFrame([(1, "Alpha, beta gamma; " + "filler " * 100)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    assert decontaminate.clean(docs, bench, cut_rest=True).first().text.startswith("Alpha, ; filler")
+
+
+# Substrings
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=4, max_size=9), min_size=1, max_size=6))
+def test_fm_index_random(parts):
+    w = 4
+    seq = np.array([x for p in parts for x in [*p, 0]])
+    start = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
+    size = np.array([len(p) for p in parts])
+    first, last = repeated_range(FMIndex(seq, w), seq, start, size - w + 1, w)
+    every = collections.Counter(tuple(p[i : i + w]) for p in parts for i in range(len(p) - w + 1))
+    for p, a, b in zip(parts, first.tolist(), last.tolist(), strict=True):
+        hits = [i for i in range(len(p) - w + 1) if every[tuple(p[i : i + w])] > 1]
+        assert (a, b) == ((hits[0], hits[-1]) if hits else (-1, -1))
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"shard_words": 500}])
+def test_substring_brute_force(spark, texts, how):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()}
+    n = collections.Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    for r in substring_dedup.remove(table(spark, DATA, "documents"), **how).collect():
+        w = words[r.doc_id]
+        gone = {p for j in range(len(w) - 34) if n[tuple(w[j : j + 35])] > 1 for p in range(j, j + 35)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+# Chat
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<|\\>im_endstart é\n", max_size=40), st.text(alphabet="<|\\ab", max_size=10))
+def test_chat_round_trip(text, role):
+    t = chat_format.Template(chat_format.default_vocab())
+    ids, mask = t.fragment(role, text, True)
+    got = t.read(ids, mask)
+    assert got[:3] == (role, text, text) and "<|" not in chat_format.escape(text)
+
+
+def test_fragments_are_placed(spark):
+    p = chat_format.placed(chat_format.fragments(table(spark, DATA, "conversations"))).filter("conv_id = 0").orderBy("turn").collect()
+    assert [r.token_start for r in p] == np.cumsum([0] + [r.n_ids for r in p])[:-1].tolist()
+
+
+# Token counts
+
+
+def greedy(word, vocab, longest):
+    n = at = 0
+    s = (*word, token_counts.END)
+    while at < len(s):
+        for k in range(min(longest, len(s) - at), 0, -1):
+            if s[at : at + k] in vocab:
+                break
+        else:
+            return 1
+        at += k
+        n += 1
+    return n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.lists(st.sampled_from([97, 98, 99, 256]), min_size=1, max_size=4).map(tuple), max_size=12), st.binary(max_size=9).map(lambda b: bytes(97 + x % 3 for x in b)))
+def test_longest_match_random(vocab, word):
+    assert token_counts.LongestMatch(vocab).count((*word, 256)) == greedy(word, vocab, 4)
+
+
+def test_token_counts_query(spark, texts):
+    vocab = set(token_counts.entries(token_counts.default_vocab()))
+    longest = max(map(len, vocab))
+    for r in token_counts.query(spark, DATA).filter("doc_id % 10 = 0").collect():
+        words = texts[r.doc_id].encode().lower().split()
+        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(w, vocab, longest) for w in words))
+
+
+# Near duplicates
+
+
+def plain_components(sets):
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            k = len(a & b)
+            if j < i and a and 100 * k >= 75 * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("how", [{}, {"group_shingles": 100}])
+def test_jaccard_brute_force(spark, how):
+    rng = np.random.default_rng(9)
+    docs = {}
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, rng.integers(3, 120))]
+        for c in range(rng.integers(1, 9)):
+            w = list(base)
+            for p in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[p] = f"n{rng.integers(0, 9)}"
+            docs[len(docs)] = " ".join(w).upper() if c % 2 else " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in docs.items()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df, **how).collect()}
+    assert got == plain_components(sets)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=12), min_size=2, max_size=25), st.booleans())
+def test_link_group_random(sets, leaders):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    got = jaccard_join.link_group(arrays, leaders=3 if leaders else 0).roots()
+    assert dict(enumerate(got.tolist())) == plain_components(dict(enumerate(sets)))
+
+
+def test_shingles_of_short_texts():
+    ids = WordIds()
+    assert len(jaccard_join.shingles(b"", ids)) == 0 and len(jaccard_join.shingles(b"a b", ids)) == 1
+    assert jaccard_join.shingles(b"A b", ids).tolist() == jaccard_join.shingles(b"a  B", ids).tolist() != jaccard_join.shingles(b"a b c", ids).tolist()
+
+
+# Pipeline
+
+
+def test_pipeline_brute_force(spark):
+    import corpus_pipeline as c
+
+    docs = table(spark, DATA, "documents")
+    kept = {}
+    for name, stage in c.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), table(spark, DATA, "documents").schema)
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    first, exact, near, clean = kept.values()
+    by = collections.defaultdict(list)
+    for i, t in first.items():
+        by[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    assert set(exact) == {min(x)[1] for x in by.values()}
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} if t.split() else set() for i, t in exact.items()}
+    assert set(near) == {i for i, r in plain_components(sets).items() if i == r}
+    word = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+    items = [word.findall(r.text.lower()) for r in table(spark, DATA, "benchmark").collect()]
+    windows = {tuple(x[j : j + min(13, len(x))]) for x in items for j in range(len(x) - min(13, len(x)) + 1)}
+    want = set()
+    for i, t in near.items():
+        w = word.findall("".join(ch.lower() if ch.isascii() else ch for ch in t))
+        hit = {p for k in {len(x) for x in windows} for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in windows for p in range(j, j + k)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            want.add(i)
+    assert set(clean) == want
+    assert {r.doc_id for r in c.run(spark, DATA).select("doc_id").distinct().collect()} == set(clean)
