@@ -120,7 +120,7 @@ def cut(t: Column, n: int) -> Column:
 def age_label(ts: Column, now: float) -> Column:
     """Age in seconds, minutes, hours or days, and the UTC month and day."""
     dt = F.lit(now) - ts
-    day = F.date_format(F.timestamp_seconds(ts), "MM-dd")
+    day = F.date_format(F.timestamp_add("SECOND", ts.cast("int"), F.lit("1970-01-01").cast("timestamp_ntz")), "MM-dd")
     return F.when(dt < 90, F.concat(F.lit("just now ("), day, F.lit(")"))).when(dt < 3600, F.format_string("%dm ago (%s)", F.floor(dt / 60), day)).when(dt < 86400, F.format_string("%dh ago (%s)", F.floor(dt / 3600), day)).otherwise(F.format_string("%dd ago (%s)", F.floor(dt / 86400), day))
 
 
@@ -141,10 +141,10 @@ def plain(t: Column) -> Column:
 
 
 def dated(s: Column) -> Column:
-    """``YYYY/MM/DD (Day) HH:MM`` to epoch seconds; no time means midnight; no date is null."""
+    """``YYYY/MM/DD (Day) HH:MM`` to epoch seconds (UTC); no time means midnight; no date is null."""
     day = F.regexp_extract(s, r"(\d{4}/\d{2}/\d{2})", 1)
     clock = F.regexp_extract(s, r"(\d{2}:\d{2})", 1)
-    return F.unix_timestamp(F.try_to_timestamp(F.concat_ws(" ", day, F.when(clock == "", "00:00").otherwise(clock)), F.lit("yyyy/MM/dd HH:mm"))).cast("double")
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(clock == "", "00:00").otherwise(clock), F.lit("Z")), F.lit("yyyy/MM/dd HH:mmXXX"))).cast("double")
 
 
 def top_sim(line: Column) -> Column:

@@ -72,7 +72,7 @@ def cut(spark, d):
     return entries(spark, d).select("memory_id", T.cut(F.col("text"), 140).alias("head"))
 
 
-@query("B11_age", f"select memory_id, cast(floor(({NOW} - ts) / 86400) as bigint) || 'd ago (' || strftime(to_timestamp(ts), '%m-%d') || ')' as age from e where {NOW} - ts >= 86400")
+@query("B11_age", f"select memory_id, cast(floor(({NOW} - ts) / 86400) as bigint) || 'd ago (' || strftime(make_timestamp((ts * 1000000)::bigint), '%m-%d') || ')' as age from e where {NOW} - ts >= 86400")
 def age(spark, d):
     return entries(spark, d).filter(NOW - F.col("ts") >= 86400).select("memory_id", T.age_label(F.col("ts"), NOW).alias("age"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, memory, scalar, vectors  # noqa: F401  registering
+from .plans import base, memory, more, scalar, vectors  # noqa: F401  registering
 
 FLAGSHIP = "L1_recall"
 QUERIES = base.QUERIES
