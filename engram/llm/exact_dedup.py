@@ -80,7 +80,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_col, text_col = new[id_col], new[text_col]
     verdicts = cut(decide(docs, id_col, text_col, prefix=prefix))
     ids = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_kept"))
-    drop = ids.filter("_rows > 1 or _kept = 0").select(F.col("doc_id").alias("_id"), "_rows")
+    drop = cut(ids.filter("_rows > 1 or _kept = 0").select(F.col("doc_id").alias("_id"), "_rows"))
+    if not drop.filter("_rows > 1").take(1):  # every id occurs once: the texts move once, in an anti-join
+        return back(docs.join(drop, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti"))
     met = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     single = met.filter("_rows is null").select(*docs.columns)
     again = met.filter("_rows > 1").select(*docs.columns, F.sha2(normalised(F.col(text_col)), 256).alias("_sha"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"))
