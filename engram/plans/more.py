@@ -216,14 +216,14 @@ def neighbours(spark, d):
     return recall.top(s, [F.desc("sim"), F.col("memory_id")], 5, ["query_id"]).select("query_id", "memory_id")
 
 
-@query("G12_newest", f"{COMPONENTS} select cluster, count(*) as size, min(memory_id) as newest from c group by cluster", entries=False)
+@query("G12_newest", f"{COMPONENTS} select cluster, count(*) as size, min(memory_id) as newest from c join documents on doc_id = memory_id group by cluster", entries=False)
 def newest(spark, d):
     """Entry times fall with the id, so the newest member is the one of the smallest id."""
     v = vectors(spark, d)
     return graph.newest_in_cluster(graph.components(v, graph.similar_pairs(v, 0.38)), entries(spark, d))
 
 
-@query("G15_repick", f"select query_id, min(memory_id) as memory_id from ({BEST}) where r <= 3 group by query_id", entries=False)
+@query("G15_repick", f"select query_id, min(memory_id) as memory_id from ({BEST}) join documents on doc_id = memory_id where r <= 3 group by query_id", entries=False)
 def repick(spark, d):
     s = V.nearest(vectors(spark, d), query_vectors(spark, d), 3).join(entries(spark, d).select("memory_id", "ts"), "memory_id")
     return s.groupBy("query_id").agg(F.max(F.struct("ts", "memory_id")).alias("m")).select("query_id", "m.memory_id")
