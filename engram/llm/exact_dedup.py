@@ -57,7 +57,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, h
         rows = hashed.unionByName(alone)
     # Rows that repeat an id within a group can't be told apart: they are counted, then dealt out again, one of them kept.
     rows = rows.groupBy("doc_id", "_chars", *keys, "_sha").agg(F.count(F.lit(1)).alias("_same"))
-    met = cut(rows).join(groups, [*keys, "_sha"], "left")
+    met = cut(cut(rows).join(groups, [*keys, "_sha"], "left"))
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     # A repeated id may occur with more than one spelling of the text; the one with most code points is kept.
     stays = keep.eqNullSafe(F.col("doc_id"))
