@@ -38,8 +38,7 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None) -> Dat
     from ..functions.vector import nearest
 
     asked = vectors.select(F.col("memory_id").alias("query_id"), "embedding")
-    n = k + 1 if k else vectors.count()
-    found = nearest(vectors, asked, n, floor=theta).filter("query_id <> memory_id")
+    found = nearest(vectors, asked, k + 1 if k else None, floor=theta).filter("query_id <> memory_id")
     if k:
         return found.select(F.least("query_id", "memory_id").alias("a"), F.greatest("query_id", "memory_id").alias("b"), "sim").dropDuplicates(["a", "b"])
     return found.filter("query_id < memory_id").select(F.col("query_id").alias("a"), F.col("memory_id").alias("b"), "sim")

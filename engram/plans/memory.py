@@ -13,16 +13,16 @@ from ..sources.entries import NOW, entries, query_vectors, table, vectors
 from ..streaming import capture
 from .base import query
 from .scalar import TOKENS
-from .vectors import COS
+from .vectors import COS, near_codes
 
 TAU = 30 * 86400.0
 DW = f"least(pow(1 + ({NOW} - last_accessed) / case when source = 'model' then {2 * TAU} else {TAU} end, -0.5) * (1 + 0.5 * log2(1 + access_count)), 1.0)"
-#: Queries of the lexical side: the first 80 characters of each entry whose id is divisible by 50.
-ASKED = f"p as (select memory_id, unnest({TOKENS}) as token from e), df as (select token, count(*) as df from p group by token), q as (select memory_id as query_id, unnest({TOKENS.replace('(text)', '(left(text, 80))')}) as token from e where memory_id % 50 = 0), n as (select count(*) as n from e), w as (select query_id, q.token, df, ln(1 + n / coalesce(df, 1)) as idf from q left join df using (token), n), a as (select query_id, sum(idf) as all_idf from w group by query_id), lex as (select query_id, memory_id, sum(idf) / any_value(all_idf) as score, sum(idf) as raw from w join p using (token) join a using (query_id) group by query_id, memory_id)"
+#: Queries of the lexical side: the text of each entry whose id is divisible by 50.
+ASKED = f"p as (select memory_id, unnest({TOKENS}) as token from e), df as (select token, count(*) as df from p group by token), q as (select memory_id as query_id, unnest({TOKENS}) as token from e where memory_id % 50 = 0), n as (select count(*) as n from e), w as (select query_id, q.token, df, ln(1 + n / coalesce(df, 1)) as idf from q left join df using (token), n), a as (select query_id, sum(idf) as all_idf from w group by query_id), lex as (select query_id, memory_id, sum(idf) / any_value(all_idf) as score, sum(idf) as raw from w join p using (token) join a using (query_id) group by query_id, memory_id)"
 
 
 def asked(e):
-    return e.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.left("text", F.lit(80)).alias("text"))
+    return e.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "text")
 
 
 @query("F1_frequencies", f", p as (select memory_id, unnest({TOKENS}) as token from e) select token, count(*) as df from p group by token")
@@ -48,7 +48,7 @@ def idf_sum(spark, d):
     return lexical.scores(e, asked(e), "sum").withColumn("score", F.round("score", 6))
 
 
-@query("E2_postings", f", p as (select memory_id, unnest({TOKENS}) as token from e), q as (select memory_id as query_id, unnest({TOKENS.replace('(text)', '(left(text, 80))')}) as token from e where memory_id % 50 = 0) select query_id, count(*) as matches from q join p using (token) group by query_id")
+@query("E2_postings", f", p as (select memory_id, unnest({TOKENS}) as token from e), q as (select memory_id as query_id, unnest({TOKENS}) as token from e where memory_id % 50 = 0) select query_id, count(*) as matches from q join p using (token) group by query_id")
 def postings(spark, d):
     e = entries(spark, d)
     q = asked(e).select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
@@ -113,9 +113,7 @@ def effective(spark, d):
 @query("L2_two_stage")
 def two_stage(spark, d):
     """Sign-code candidates first, then cosine among them."""
-    coded = vectors(spark, d).select("memory_id", V.sign_code(F.col("embedding")).alias("code"))
-    q = coded.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.col("code").alias("q"))
-    near = recall.top(q.join(coded, F.lit(True)).select("query_id", "memory_id", V.hamming(F.col("code"), F.col("q")).alias("ham")), [F.col("ham"), F.col("memory_id")], 100, ["query_id"]).select("query_id", "memory_id")
+    near = near_codes(spark, d, 100).select("query_id", "memory_id")
     v, qv = vectors(spark, d), query_vectors(spark, d).withColumnRenamed("embedding", "qe")
     scored = near.join(v, "memory_id").join(qv, "query_id").select("query_id", "memory_id", V.cosine(F.col("embedding"), F.col("qe")).alias("sim"))
     return recall.top(scored, [F.desc("sim"), F.col("memory_id")], 5, ["query_id"])

@@ -15,7 +15,7 @@ from ..sources import store
 from ..sources.entries import NOW, entries, query_vectors, table, vectors
 from .base import query
 from .memory import ASKED, DW, HYBRID, TAU, asked, eviction, hybrid
-from .vectors import BEST, CODE, COMPONENTS, COS, PAIRS
+from .vectors import BEST, CODE, COMPONENTS, COS, PAIRS, near_codes
 
 # Sources and sinks.
 
@@ -131,7 +131,7 @@ def other_text(spark, d):
 @query("E1_scored", f"select a.vec_id as query_id, b.vec_id as memory_id, round({COS}, 5) as sim from embeddings a, embeddings b where a.vec_id % 50 = 0 and {COS} >= 0.2", entries=False)
 def scored(spark, d):
     v = vectors(spark, d)
-    return V.nearest(v, query_vectors(spark, d), v.count(), floor=0.2).select("query_id", "memory_id", F.round("sim", 5).alias("sim"))
+    return V.nearest(v, query_vectors(spark, d), None, floor=0.2).select("query_id", "memory_id", F.round("sim", 5).alias("sim"))
 
 
 @query("E13_gold", "select conv_id, len(list_intersect(list(turn) filter (role = 'user'), list(turn) filter (turn < 2)))::integer as hits from conversations group by conv_id", entries=False)
@@ -151,10 +151,7 @@ def known_idf(spark, d):
 
 @query("F12_code_recall", f"with t as ({BEST}), h as (select a.vec_id as query_id, b.vec_id as memory_id, row_number() over (partition by a.vec_id order by {CODE}, b.vec_id) as r from embeddings a, embeddings b where a.vec_id % 50 = 0) select t.query_id, round(count(h.r) / count(*), 6)::double as fidelity from t left join (select * from h where r <= 5) h on h.query_id = t.query_id and h.memory_id = t.memory_id where t.r <= 5 group by t.query_id", entries=False)
 def code_recall(spark, d):
-    coded = vectors(spark, d).select("memory_id", V.sign_code(F.col("embedding")).alias("code"))
-    q = coded.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.col("code").alias("q"))
-    ham = recall.top(q.join(coded, F.lit(True)).select("query_id", "memory_id", V.hamming(F.col("code"), F.col("q")).alias("ham")), [F.col("ham"), F.col("memory_id")], 5, ["query_id"])
-    return metrics.overlap(V.nearest(vectors(spark, d), query_vectors(spark, d), 5), ham).select("query_id", F.round("fidelity", 6).alias("fidelity"))
+    return metrics.overlap(V.nearest(vectors(spark, d), query_vectors(spark, d), 5), near_codes(spark, d, 5)).select("query_id", F.round("fidelity", 6).alias("fidelity"))
 
 
 @query("F15_mutations", "select count(*) filter (quality = 0 and toxic = 0) as unnecessary, count(*) filter (quality = 1 and toxic = 1) as missed, count(*) filter (toxic = 1) as failed from labels", entries=False)

@@ -25,7 +25,7 @@ def cosine(spark, d):
 def best_chunk(spark, d):
     v = vectors(spark, d)
     asked = v.filter("memory_id % 50 = 0")
-    s = V.nearest(v, asked.select(F.col("memory_id").alias("query_id"), "embedding"), v.count())
+    s = V.nearest(v, asked.select(F.col("memory_id").alias("query_id"), "embedding"), None)
     return s.join(asked.select(F.col("memory_id").alias("query_id"), F.col("label").alias("grp")), "query_id").groupBy("memory_id", "grp").agg(F.round(F.max("sim"), 5).alias("sim"))
 
 
@@ -36,10 +36,12 @@ def normalised(spark, d):
 
 @query("C8_hamming", f"select query_id, memory_id, ham from (select a.vec_id as query_id, b.vec_id as memory_id, {CODE}::integer as ham, row_number() over (partition by a.vec_id order by {CODE}, b.vec_id) as r from embeddings a, embeddings b where a.vec_id % 50 = 0) where r <= 10", entries=False)
 def hamming(spark, d):
+    return near_codes(spark, d, 10).select("query_id", "memory_id", "ham")
+
+
+def near_codes(spark, d, k):
     coded = vectors(spark, d).select("memory_id", V.sign_code(F.col("embedding")).alias("code"))
-    asked = coded.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.col("code").alias("q"))
-    met = asked.join(coded, F.lit(True)).select("query_id", "memory_id", V.hamming(F.col("code"), F.col("q")).alias("ham"))  # the stated query set
-    return recall.top(met, [F.col("ham"), F.col("memory_id")], 10, ["query_id"]).select("query_id", "memory_id", "ham")
+    return V.nearest_codes(coded, coded.filter("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"), k)
 
 
 @query("C9_codes", "select vec_id as memory_id, list_sum(list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end))::integer as ones from embeddings", entries=False)
@@ -140,8 +142,4 @@ FID = f"with t as ({BEST}), h as (select a.vec_id as query_id, b.vec_id as memor
 def fidelity(spark, d):
     from ..operators import metrics
 
-    coded = vectors(spark, d).select("memory_id", V.sign_code(F.col("embedding")).alias("code"))
-    asked = coded.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.col("code").alias("q"))
-    met = asked.join(coded, F.lit(True)).select("query_id", "memory_id", V.hamming(F.col("code"), F.col("q")).alias("ham"))
-    ham = recall.top(met, [F.col("ham"), F.col("memory_id")], 250, ["query_id"])
-    return metrics.overlap(V.nearest(vectors(spark, d), query_vectors(spark, d), 100), ham).select("query_id", F.round("fidelity", 6).alias("fidelity"))
+    return metrics.overlap(V.nearest(vectors(spark, d), query_vectors(spark, d), 100), near_codes(spark, d, 250)).select("query_id", F.round("fidelity", 6).alias("fidelity"))
