@@ -97,3 +97,29 @@ def rolled_up(outcomes: DataFrame) -> DataFrame:
     stored = F.col("action").isin("new", "merged", "strengthened")
     per = outcomes.groupBy("scope", "seq").agg(*(F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("new", "merged", "strengthened")), F.count_if(~stored).alias("n_refused"), F.collect_set(F.when(stored, F.col("action"))).alias("_a"))
     return per.withColumn("action", F.when(F.size("_a") == 0, "rejected").when(F.size("_a") == 1, F.element_at("_a", 1)).otherwise("mixed")).drop("_a")
+
+
+def novelty_gate(messages: DataFrame, least: float = 0.1, codes: bool = False) -> DataFrame:
+    """(scope, seq, stored, novelty) for messages (scope, seq, text): a message is stored unless one stored before it in its scope is
+    too similar. Novelty is one less the best cosine (stored from ``least`` on), or with ``codes`` the least share of code
+    bits that differ (stored above ``least``); the first has novelty 1. A null text is empty."""
+    parts = messages.select("scope", "seq", F.array_sort(T.tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        kept, rows = np.zeros((len(pdf), DIMS)), []
+        n = 0
+        for t in pdf["tokens"]:
+            e = hash_embedding(list(t))
+            e = (e > 0).astype(float) if codes else e
+            novelty = 1.0
+            if n:
+                novelty = float(np.abs(kept[:n] - e).mean(axis=1).min()) if codes else 1 - float((kept[:n] @ e).max())
+            stored = not n or (novelty > least if codes else novelty >= least)
+            if stored:
+                kept[n] = e
+                n += 1
+            rows.append((stored, novelty))
+        return pd.DataFrame({"scope": pdf["scope"], "seq": pdf["seq"], "stored": [r[0] for r in rows], "novelty": [r[1] for r in rows]})
+
+    return parts.groupBy("scope").applyInPandas(fold, "scope long, seq long, stored boolean, novelty double")

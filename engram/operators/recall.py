@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,17 @@ def touched(entries: DataFrame, hits: DataFrame, now: float) -> DataFrame:
 def top(df: DataFrame, by: list[Column], k: int, part: list[str]) -> DataFrame:
     """The first ``k`` rows of each part."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*by))).filter(F.col("rank") <= k)
+
+
+def reranked(hits: DataFrame, entries: DataFrame, queries: DataFrame, scorer, top_k: int = 5, pool: int = 10) -> DataFrame:
+    """The first ``pool`` hits (query_id, memory_id, rank) of each query in the order of ``scorer(query text, entry text)``, a Column
+    or pandas_udf; equal scores (at nine digits) keep their rank. Only the pool's texts are joined."""
+    met = hits.filter(F.col("rank") <= pool).select("query_id", "memory_id", F.col("rank").alias("was"))
+    met = met.join(entries.select("memory_id", "text"), "memory_id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    return top(met.withColumn("score", F.round(scorer(F.col("_q"), F.col("text")), 9)).drop("_q", "text"), [F.desc("score"), F.col("was")], top_k, ["query_id"])
+
+
+def months(first: str, last: str) -> tuple[float, float]:
+    """Start of the month ``first`` and 31 days after the start of ``last`` (``YYYY-MM``), in seconds UTC."""
+    a, b = (dt.datetime.strptime(m, "%Y-%m").replace(tzinfo=dt.timezone.utc).timestamp() for m in (first, last))
+    return a, b + 31 * 86400.0

@@ -93,8 +93,13 @@ def arithmetic(spark, d):
 
 @query("C12_pattern_step", ", p as (select vec_id as memory_id, i, case when embedding[i + 1] > 0 then 1 else -1 end as v from embeddings, range(64) r(i)), m as (select a.memory_id as query_id, b.memory_id, sum(a.v * b.v) as m from p a join p b on a.i = b.i where a.memory_id % 50 = 0 group by 1, 2) select query_id, p.i::integer as i, case when sum(m * v) >= 0 then 1 else -1 end as v from m join p using (memory_id) group by 1, 2".replace(", p as", "with p as", 1), entries=False)
 def pattern_step(spark, d):
-    p = hopfield.signs(vectors(spark, d))
-    return hopfield.recall_step(p, p.filter("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"))
+    p = patterns(spark, d)
+    done = hopfield.recall_step(p, p.filter("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"))
+    return done.select("query_id", F.posexplode("code").alias("i", "v"))
+
+
+def patterns(spark, d):
+    return vectors(spark, d).select("memory_id", hopfield.signs(F.col("embedding")).alias("code"))
 
 
 @query("C13_routed", "select memory_id, ('0x' || substr(md5(text), 1, 7))::bigint % 8 as compartment from e")
@@ -105,10 +110,10 @@ def routed(spark, d):
 @query("C15_associate")
 def associate(spark, d):
     """What a settled state overlaps most, the row itself left out."""
-    p = hopfield.signs(vectors(spark, d))
-    done = hopfield.settle(p, p.filter("memory_id % 100 = 0").withColumnRenamed("memory_id", "query_id"), 3)
-    near = done.select("query_id", "i", F.col("v").alias("s")).join(p, "i").filter("query_id <> memory_id").groupBy("query_id", "memory_id").agg(F.sum(F.col("s") * F.col("v")).alias("overlap"))
-    return recall.top(near.filter("overlap > 0"), [F.desc("overlap"), F.col("memory_id")], 5, ["query_id"])
+    p = patterns(spark, d)
+    done = hopfield.settle(p, p.filter("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"), 3)
+    near = V.nearest(p.withColumnRenamed("code", "embedding"), done.select("query_id", F.col("code").alias("embedding")), 6, floor=1e-6).filter("query_id <> memory_id")
+    return recall.top(near.drop("rank"), [F.desc("sim"), F.col("memory_id")], 5, ["query_id"])
 
 
 @query("C18_kmeans")

@@ -81,3 +81,13 @@ def trajectories(df: DataFrame) -> DataFrame:
     s = df.select("id", F.posexplode("states").alias("pos", "s"))
     tree = F.when(F.length("s.accessibility_tree") < 1500, F.col("s.accessibility_tree"))
     return s.select("id", "pos", F.concat_ws("\n", "s.url", "s.thought", "s.action", tree).alias("text")).filter("text <> ''")
+
+
+TURNS = "conversation map<string, array<struct<speaker: string, text: string>>>"
+
+
+def dialogues(df: DataFrame) -> DataFrame:
+    """(id, json) conversations of named sessions to one row per turn: (id, session, pos, speaker, text)."""
+    parsed = df.select("id", F.from_json("json", TURNS).alias("c"))
+    turns = parsed.select("id", F.explode("c.conversation").alias("session", "turns")).select("id", "session", F.posexplode("turns").alias("pos", "t"))
+    return turns.select("id", "session", "pos", "t.speaker", "t.text")
