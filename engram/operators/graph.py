@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -33,15 +37,98 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("memory_id").join(now, "memory_id", "left").select("memory_id", F.coalesce("cluster", "memory_id").alias("cluster"))
 
 
-def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None) -> DataFrame:
-    """(a, b, sim), a < b, cosine at least ``theta``. Rows meet block by block in a matrix product; ``k`` keeps each row's best ``k`` only."""
-    from ..functions.vector import nearest
-
-    asked = vectors.select(F.col("memory_id").alias("query_id"), "embedding")
-    found = nearest(vectors, asked, k + 1 if k else None, floor=theta).filter("query_id <> memory_id")
-    if k:
-        return found.select(F.least("query_id", "memory_id").alias("a"), F.greatest("query_id", "memory_id").alias("b"), "sim").dropDuplicates(["a", "b"])
-    return found.filter("query_id < memory_id").select(F.col("query_id").alias("a"), F.col("memory_id").alias("b"), "sim")
+def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, pivots: int = 256, block: int = 4096) -> DataFrame:
+    """(a, b, sim), a < b: all pairs with a cosine of at least ``theta`` (above 0); ``k`` keeps each row's best ``k`` only.
+
+    Exact and without a cross join. ``pivots`` rows, chosen by id hash, split the sphere into cells; a row is at home in the cell of
+    its nearest pivot and visits another cell only if its angle to that pivot is within the cell's radius plus the
+    angle of ``theta``, without which no member can be near enough. In a cell, slices of members meet slices of visitors,
+    ``block`` rows each at most on average, in a matrix product; a hot cell is dealt out into more slices. The driver
+    sees the pivots and one row of figures per cell. Rows without a direction (null, zero) have no pairs.
+    """
+    if theta <= 0:
+        raise ValueError("theta must be above 0")
+    spark = vectors.sparkSession
+    empty = spark.createDataFrame([], "a long, b long, sim double")
+    v = vectors.select("memory_id", "embedding").filter("embedding is not null and exists(embedding, x -> x <> 0)")
+    chosen = v.orderBy(F.xxhash64("memory_id"), "memory_id").limit(pivots).collect()
+    if not chosen:
+        return empty
+    centres = spark.sparkContext.broadcast(_unit(np.array([r.embedding for r in chosen], float)))
+
+    def angles(b: pa.RecordBatch) -> np.ndarray:
+        x = np.asarray(b.column("embedding").flatten(), float).reshape(b.num_rows, -1)
+        return np.arccos(np.clip(_unit(x) @ centres.value.T, -1, 1))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = angles(b)
+                home = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(home)), home])], names=["memory_id", "embedding", "cell", "angle"])
+
+    kind = v.schema["embedding"].dataType
+    homes = checkpointed(v.mapInArrow(settle, T.StructType([*v.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+    reach = np.full(len(chosen), -1.0)
+    sizes = {}
+    for r in homes.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+        reach[r.cell], sizes[r.cell] = r.radius + np.arccos(min(theta, 1.0)) + 1e-6, r.n
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                home = np.asarray(b.column("cell"))
+                goes = angles(b) <= reach
+                goes &= np.arange(len(reach)) > home[:, None]  # of two cells, the later one is visited
+                goes[np.arange(len(home)), home] = True
+                row, cell = np.nonzero(goes)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("memory_id").take(at), b.column("embedding").take(at), pa.array(cell, pa.int32()), pa.array(cell == home[row])], names=["memory_id", "embedding", "cell", "own"])
+
+    visitors = homes.mapInArrow(visit, T.StructType([T.StructField("memory_id", T.LongType()), T.StructField("embedding", kind), T.StructField("cell", T.IntegerType()), T.StructField("own", T.BooleanType())]))
+    coming = {r.cell: r.n for r in visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = spark.createDataFrame([(c, -(-n // block), -(-coming[c] // block)) for c, n in sizes.items()], "cell int, slices int, chunks int")  # a row per pivot
+    part = lambda of: F.pmod(F.xxhash64("memory_id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = homes.join(F.broadcast(plan), "cell").select("memory_id", "embedding", "cell", part("slices").alias("i"), every("chunks").alias("j"))
+    right = visitors.join(F.broadcast(plan), "cell").select("memory_id", "embedding", "own", "cell", every("slices").alias("i"), part("chunks").alias("j"))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        def unit(t: pa.Table) -> np.ndarray:
+            e = np.asarray(t.column("embedding").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
+            return e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-8)
+
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if x.num_rows and y.num_rows:
+            sims = unit(x) @ unit(y).T
+            i, j = np.nonzero(sims >= theta)
+            a, b, own, sim = np.asarray(x.column("memory_id"))[i], np.asarray(y.column("memory_id"))[j], np.asarray(y.column("own"))[j], sims[i, j]
+            keep = np.where(own, a < b, a != b)  # members of one cell meet twice
+            a, b, sim = a[keep], b[keep], sim[keep]
+            found = [np.minimum(a, b), np.maximum(a, b), sim]
+        return pa.table(found, names=["a", "b", "sim"])
+
+    key = ["cell", "i", "j"]
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "a long, b long, sim double")
+    if k is None:
+        return pairs
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "sim"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "y"))
+    return both.withColumn("r", rank).filter(F.col("r") <= k).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim").dropDuplicates(["a", "b"])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def clusters(vectors: DataFrame, theta: float) -> DataFrame:
+    """(memory_id, cluster): components of the pairs at ``theta``. Rows of equal vectors are one node, so that copies are
+    never expanded into pairs."""
+    v = vectors.select("memory_id", "embedding")
+    # A zero vector has no direction: its rows stay alone.
+    nodes = v.filter("embedding is not null and exists(embedding, x -> x <> 0)").groupBy("embedding").agg(F.min("memory_id").alias("memory_id"))
+    named = components(nodes, similar_pairs(nodes, theta)).join(nodes, "memory_id").select("embedding", "cluster")
+    return v.join(named, "embedding", "left").select("memory_id", F.coalesce("cluster", "memory_id").alias("cluster"))
 
 
 def newest_in_cluster(clusters: DataFrame, entries: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def reranked(spark, d):
     return recall.reranked(recall.recall(h, v, q, qv, 10), h, q, share).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("L20_with_state", f"{HYBRID}, k as (select query_id, memory_id, state_key, state_value, row_number() over (partition by query_id order by fused_rank) as rank from fr join h using (memory_id) where superseded_by is null), st as (select query_id, memory_id, row_number() over (partition by query_id order by rank) as r from k where rank <= 20 and state_key is not null and state_value is not null and query_id % 100 = 0) select query_id, 'text' as kind, memory_id from k where rank <= 5 union all select query_id, 'state', memory_id from st where r = 1")
+@query("L20_with_state", f"{HYBRID}, k as (select query_id, memory_id, state_key, state_value, row_number() over (partition by query_id order by fused_rank) as rank from fr join h using (memory_id) where superseded_by is null), st as (select query_id, memory_id, row_number() over (partition by query_id order by rank) as r from k where rank <= 20 and state_key is not null and state_value is not null and query_id % 100 = 0 and query_id in (select memory_id from h)) select query_id, 'text' as kind, memory_id from k where rank <= 5 union all select query_id, 'state', memory_id from st where r = 1")
 def with_state(spark, d):
     """The best five texts; a question that opens with what is, what's or which also gets the first keyed state among twenty."""
     h, v, q, qv = hybrid(spark, d)

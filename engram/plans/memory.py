@@ -438,4 +438,4 @@ def dependents(spark, d):
 def resolve(spark, d):
     v = vectors(spark, d)
     hits = V.nearest(v, query_vectors(spark, d), 10).filter("query_id <> memory_id").drop("rank")
-    return graph.pool_resolve(hits, graph.components(v, graph.similar_pairs(v, 0.38)), entries(spark, d))
+    return graph.pool_resolve(hits, graph.clusters(v, 0.38), entries(spark, d))

@@ -168,7 +168,7 @@ def mutations(spark, d):
 @query("F22_component_sizes", f"{COMPONENTS}, s as (select cluster, count(*) as n from c group by cluster) select n as size, count(*) as clusters from s group by n", entries=False)
 def component_sizes(spark, d):
     v = vectors(spark, d)
-    s = graph.components(v, graph.similar_pairs(v, 0.38)).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    s = graph.clusters(v, 0.38).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return s.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
 
 
@@ -222,7 +222,7 @@ def neighbours(spark, d):
 def newest(spark, d):
     """Entry times fall with the id, so the newest member is the one of the smallest id."""
     v = vectors(spark, d)
-    return graph.newest_in_cluster(graph.components(v, graph.similar_pairs(v, 0.38)), entries(spark, d))
+    return graph.newest_in_cluster(graph.clusters(v, 0.38), entries(spark, d))
 
 
 @query("G15_repick", f"select query_id, min(memory_id) as memory_id from ({BEST}) join documents on doc_id = memory_id where r <= 3 group by query_id", entries=False)

@@ -97,7 +97,7 @@ COMPONENTS = f"with recursive p as ({PAIRS}), ed as (select a, b from p union al
 @query("K1_clusters", f"{COMPONENTS} select memory_id, cluster from c", entries=False)
 def clusters(spark, d):
     v = vectors(spark, d)
-    return graph.components(v, graph.similar_pairs(v, 0.38))
+    return graph.clusters(v, 0.38)
 
 
 @query("K2_find_clusters")
@@ -111,7 +111,7 @@ def find_clusters(spark, d):
 @query("K6_percolation", f"{COMPONENTS}, s as (select cluster, count(*) as n from c group by cluster) select count(*) as clusters, max(n) as largest, round(max(n) / sum(n), 6)::double as share from s", entries=False)
 def percolation(spark, d):
     v = vectors(spark, d)
-    s = graph.components(v, graph.similar_pairs(v, 0.38)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    s = graph.clusters(v, 0.38).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return s.agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
 
 

@@ -105,3 +105,25 @@ def test_tree_and_months(spark, vecs):
     best = tree.collected(every, q, 1).collect()
     assert {r.query_id: r.memory_id for r in best} == {i: i for i in range(4)}
     assert recall.months("2023-11", "2023-12") == (1698796800.0, 1701388800.0 + 31 * 86400)
+
+
+def test_similar_pairs_meet_cell_by_cell(spark, vecs, rows):
+    from engram.operators import graph
+
+    more = spark.createDataFrame([(70 + i, rows[3].tolist()) for i in range(20)] + [(95, [0.0] * 16), (96, [0.0] * 16)], vecs.schema)
+    v = vecs.unionByName(more)
+    x = {r.memory_id: np.array(r.embedding, float) for r in v.collect() if r.embedding is not None}
+    ids = sorted(x)
+    cos = lambda a, b: x[a] @ x[b] / ((np.linalg.norm(x[a]) + 1e-8) * (np.linalg.norm(x[b]) + 1e-8))
+    for theta in (0.3, 0.9):
+        want = {(a, b) for a in ids for b in ids if a < b and cos(a, b) >= theta}
+        got = [(r.a, r.b) for r in graph.similar_pairs(v, theta, pivots=6, block=4).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    parent = {i: i for i in ids}
+    for a, b in sorted((a, b) for a in ids for b in ids if a < b and cos(a, b) >= 0.5):
+        ra, rb = parent[a], parent[b]
+        parent = {i: min(ra, rb) if p in (ra, rb) else p for i, p in parent.items()}
+    got = {r.memory_id: r.cluster for r in graph.clusters(v, 0.5).collect()}
+    assert got == parent | {60: 60}
+    assert graph.similar_pairs(v.limit(0), 0.5).count() == 0
+    assert graph.clusters(v.limit(0), 0.5).count() == 0
