@@ -74,6 +74,29 @@ def test_detector_adds_what_the_base_misses():
     assert pii.redacted("mail a@b.co now", pii.base_spans("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+def test_proposals_hold_every_run_of_digit_groups():
+    text = "a +1 (826) 555-4081 190.137.223.204, 7536784127813050 4845168114407329 or 555-123-4567 3 times, 555.190.137.223.204"
+    got = {(k, text[s:e]) for s, k, e in pii.proposals(text)}
+    assert {(3, "+1 (826) 555-4081"), (3, "(826) 555-4081"), (1, "190.137.223.204"), (2, "7536784127813050"), (2, "4845168114407329"), (3, "555-123-4567")} <= got
+    for n in (2000, 4000):
+        assert len(pii.proposals("1 " * n)) <= 16 * n
+
+
+def test_detector_finds_numbers_beside_others():
+    rng = np.random.default_rng(1)
+
+    def card():
+        first = "".join(map(str, rng.integers(0, 10, 15)))
+        return next(first + str(c) for c in range(10) if pii.luhn(first + str(c)))
+
+    made = [f"call me at +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} from {'.'.join(map(str, rng.integers(1, 250, 4)))} paid by {card()} today id a{rng.integers(10**9)}f" for _ in range(200)]
+    got = [x for t in made for x in pii.examples(t)]
+    d = pii.Detector(np.array([f for f, _ in got]), np.array([y for _, y in got], float))
+    a, b = card(), card()
+    for text, want in (("at +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081"]), (f"by {a} {b} now", [a, b]), ("at 12 (743) 555-3824 today", ["(743) 555-3824"]), ("at 555-123-4567 3 times", ["555-123-4567"]), ("from 2024 to 2025 12 3 rounds", [])):
+        assert sorted(text[s:e] for s, _, e in d.added(text, pii.base_spans(text))) == sorted(want)
+
+
 # Language and quality
 
 
