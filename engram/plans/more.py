@@ -133,6 +133,15 @@ def other_text(spark, d):
     return s.join(o, "h").filter("memory_id < b and text <> t").select(F.col("memory_id").alias("a"), "b")
 
 
+@query("D10_similar_other_text", f"select a, b, round(sim, 5) as sim from ({PAIRS}) p join e x on x.memory_id = p.a join e y on y.memory_id = p.b where x.text <> y.text")
+def similar_other_text(spark, d):
+    """All similar pairs but those of equal texts, whatever the texts begin with. Texts move once, as digests."""
+    s = entries(spark, d).filter("text is not null").select("memory_id", F.sha2("text", 256).alias("s"))
+    p = graph.similar_pairs(vectors(spark, d), 0.38)
+    x, y = s.select(F.col("memory_id").alias("a"), "s"), s.select(F.col("memory_id").alias("b"), F.col("s").alias("t"))
+    return p.join(x, "a").join(y, "b").filter("s <> t").select("a", "b", F.round("sim", 5).alias("sim"))
+
+
 @query("E1_scored", f"select a.vec_id as query_id, b.vec_id as memory_id, round({COS}, 5) as sim from embeddings a, embeddings b where a.vec_id % 50 = 0 and {COS} >= 0.2", entries=False)
 def scored(spark, d):
     v = vectors(spark, d)

@@ -127,3 +127,12 @@ def test_similar_pairs_meet_cell_by_cell(spark, vecs, rows):
     assert got == parent | {60: 60}
     assert graph.similar_pairs(v.limit(0), 0.5).count() == 0
     assert graph.clusters(v.limit(0), 0.5).count() == 0
+
+
+def test_similar_pairs_of_other_texts_need_no_common_opening(spark, tmp_path, rows):
+    from engram.registry import QUERIES
+
+    texts = {0: "one opening, and on", 1: "another opening", 2: "one opening, and on", 3: None, 4: "far away"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, (rows[0] if i < 4 else -rows[0]).tolist(), 0) for i in texts], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r.a, r.b, r.sim) for r in QUERIES["D10_similar_other_text"](spark, str(tmp_path)).collect()) == [(0, 1, 1.0), (1, 2, 1.0)]
