@@ -73,3 +73,13 @@ def test_filters_keep_columns_and_one_row_of_repeats(spark, docs):
     good = quality.keep_good(docs, quality.train(docs, spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, quality int")))
     assert good.columns == docs.columns and good.count() in (0, len(ROWS))  # two labels: one rate for all
     assert exact_dedup.keep_first(docs.filter(F.lit(False))).count() == 0
+
+
+def test_one_row_of_each_component_with_null_and_reused_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(0, x + " end"), (1, x), (1, y), (2, y + " end"), (None, z), (None, z + " end"), (None, z), (None, "alone in the world"), (None, y.upper()), (None, ""), (3, " "), (3, " ")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    alike = [r for r in kept if r[1].startswith("z0 ")]
+    assert len(alike) == 1 and alike[0][0] is None
+    assert sorted((r for r in kept if r not in alike), key=str) == sorted([(0, x + " end"), (1, y), (None, "alone in the world"), (None, ""), (3, " ")], key=str)
