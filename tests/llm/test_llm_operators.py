@@ -97,6 +97,15 @@ def test_detector_finds_numbers_beside_others():
         assert sorted(text[s:e] for s, _, e in d.added(text, pii.base_spans(text))) == sorted(want)
 
 
+def test_rare_personal_data_still_fits(spark):
+    rng = np.random.default_rng(2)
+    phone = lambda i: f"call me at +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} id a{i}{rng.integers(10**9)}f"
+    rows = [(i, phone(i) if i % 1000 == 0 else f"nothing {i}") for i in range(60_000)]
+    d = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "call me at (743) 555-3824 today"
+    assert [text[s:e] for s, k, e in d.added(text, [])] == ["(743) 555-3824"]
+
+
 # Language and quality
 
 
