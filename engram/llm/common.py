@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,23 +19,53 @@ BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session. One of our own only where none is set and driver and executors are one
+    process (tests); on a cluster without a shared folder: an error, since executors can't share a local one."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        local = sc.master.startswith("local[") or sc.master == "local"
-        named = tempfile.mkdtemp(prefix="engram-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="engram-")
     sc.setCheckpointDir(named)
     return named
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours at the end of the driver, if the session still lives."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone: the cluster's own clean-up of the shared folder is left
+        pass
+
+
+@functools.lru_cache(maxsize=4)
+def _own_folder(application: str, base: str) -> str:
+    folder = f"{base.rstrip('/')}/engram-llm-{application}-{uuid.uuid4().hex[:8]}"
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    return f"{_own_folder(spark.sparkContext.applicationId, checkpoint_dir(spark))}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there: a lost executor costs no recomputation.
+
+    A table rather than checkpoint(): a checkpointed DataFrame keeps the size its plan was estimated at, and over many rounds
+    of joins that estimate, a product, grows so long that multiplying it takes seconds.
+    """
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
@@ -73,6 +105,15 @@ def runs(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def parts(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of the text column ``name``; a longer text stands alone."""
+    at = _bytes_of(batch.column(name))[1]
+    for a, b in runs(np.diff(at).tolist(), most):
+        yield batch.slice(a, b - a)
+    if not batch.num_rows:
+        yield batch
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` for mapInArrow; when a task ends, freed memory goes back to the system, as workers live on."""
 
@@ -100,41 +141,120 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordIds(dict):
-    """Word (bytes) to a 64-bit hash; the first words are remembered, up to a bound."""
-
-    def __init__(self, most: int = 200_000):
-        import xxhash
-
-        super().__init__()
-        self._hash, self._most = xxhash.xxh3_64_intdigest, most
-
-    def __missing__(self, word: bytes) -> int:
-        value = self._hash(word)
-        if len(self) < self._most:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def summed(df: DataFrame, dtype: str, fan_in: int = 64) -> dict[int, np.ndarray]:
-    """Arrays of ``(chunk int, part int, payload binary)`` summed by chunk, over two levels, so that no task
-    gathers more than ``fan_in`` or (parts / fan_in) payloads. The result goes to the driver: callers
-    keep the number of chunks and their length fixed by parameters, whatever the input."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("payload").to_pylist():
-            a = np.frombuffer(x, dtype=dtype)
-            total = a.astype(dtype) if total is None else np.add(total, a, out=total)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())})
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[np.frombuffer(BLANKS.encode(), np.uint8)] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: A value for each byte, none for blanks; longer words than _LONG bytes are hashed as a whole.
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[_IS_BLANK] = 0
+_LONG, _STEP = 512, 1 << 16
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, one for each place of a step."""
+    base, out = 0xD1342543DE82EF95, []
+    for x in (base, pow(base, -1, 1 << 64)):
+        a = np.full(_STEP + _LONG, x, np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each row starts in them (n + 1 places); null as empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _hashes_of_step(d: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``d`` that begin at ``start``."""
+    import xxhash
+
+    up, down = _powers()
+    if len(d) > len(up):  # a very long word: one by one
+        ends = [int(x) for x in [*start[1:], len(d)]]
+        parts = [d[s:e][: int(k[0]) if len(k := np.flatnonzero(_IS_BLANK[d[s:e]])) else None] for s, e in zip(start.tolist(), ends, strict=True)]
+        sums = [(_BYTE[w] * up[: len(w)]).sum(dtype=np.uint64) if len(w) <= _LONG else 0 for w in parts]
+        h = mix64(np.array(sums, np.uint64))
+        for i, w in enumerate(parts):
+            if len(w) > _LONG:
+                h[i] = xxhash.xxh3_64_intdigest(w.tobytes())
+        return h
+    value = _BYTE[d]
+    value *= up[: len(d)]
+    h = mix64(np.add.reduceat(value, start) * down[start])
+    size = np.diff(start, append=len(d))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        w = d[start[i] : start[i] + size[i]]
+        blank = np.flatnonzero(_IS_BLANK[w])
+        w = w[: blank[0]] if len(blank) else w
+        if len(w) > _LONG:
+            h[i] = xxhash.xxh3_64_intdigest(w.tobytes())
+    return h
+
+
+def word_hashes(column: pa.Array, *, fold: bool = False, step: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs between blanks) of a column's texts, and each row's bounds in them. ``fold``: A-Z as a-z.
+
+    The bytes are hashed in steps that end at a blank or a row's end, so the work arrays stay small whatever a text's length: a
+    word's hash is the mixed sum of its bytes' values times powers, taken from a running sum that no word has to be cut out for.
+    """
+    data, at = _bytes_of(column)
+    out, starts_at, lo, n = [], [], 0, len(data)
+    while lo < n:
+        hi = min(n, lo + step)
+        if hi < n and not _IS_BLANK[data[hi - 1]]:  # on to the end of the word
+            row = int(at[np.searchsorted(at, hi)])
+            while hi < row:
+                gap = np.flatnonzero(_IS_BLANK[data[hi : min(row, hi + _STEP)]])
+                hi = hi + int(gap[0]) if len(gap) else min(row, hi + _STEP)
+                if len(gap):
+                    break
+        d = data[lo:hi]
+        if fold:
+            d = _FOLD[d]
+        blank = _IS_BLANK[d]
+        edge = np.empty(len(d), bool)  # a blank or a row's start before each place
+        edge[0] = True
+        edge[1:] = blank[:-1]
+        a, b = np.searchsorted(at, (lo, hi))
+        edge[at[a:b] - lo] = True
+        edge &= ~blank
+        start = np.flatnonzero(edge)
+        if len(start):
+            out.append(_hashes_of_step(d, start))
+            starts_at.append(start + lo)
+        lo = hi
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return np.concatenate(out), np.searchsorted(np.concatenate(starts_at), at).astype(np.int64)
+
+
+def summed(df: DataFrame, dtype: str, fan_in: int = 64, total: str = "<i8", decode: Callable = bytes) -> dict[int, np.ndarray]:
+    """Arrays of ``(chunk int, part int, payload binary)`` of ``dtype`` summed by chunk as ``total``, over two levels, so
+    that no task gathers more than ``fan_in`` or (parts / fan_in) payloads. ``decode``: from payload to bytes. The result
+    goes to the driver: callers keep the number of chunks and their length fixed by parameters, whatever the input."""
+
+    def adding(dtype: str, decode: Callable):
+        def add(table: pa.Table) -> pa.Table:
+            out = None
+            for x in table.column("payload").to_pylist():
+                a = np.frombuffer(decode(x), dtype=dtype)
+                out = a.astype(total) if out is None else np.add(out, a, out=out)
+            return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "payload": pa.array([out.tobytes()], pa.binary())})
+
+        return add
 
     schema = "chunk int, part int, payload binary"
-    one = df.withColumn("salt", F.floor(F.col("part") / fan_in)).groupBy("chunk", "salt").applyInArrow(add, schema)
-    two = one.groupBy("chunk").applyInArrow(add, schema)
-    return {r.chunk: np.frombuffer(bytes(r.payload), dtype=dtype) for r in two.collect()}
+    one = df.withColumn("salt", F.floor(F.col("part") / fan_in)).groupBy("chunk", "salt").applyInArrow(adding(dtype, decode), schema)
+    two = one.groupBy("chunk").applyInArrow(adding(total, bytes), schema)
+    return {r.chunk: np.frombuffer(bytes(r.payload), dtype=total) for r in two.collect()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,15 +7,17 @@
    stretches, one of each, go to one shard.
 3. Each shard is indexed by a compressed FM-index, and its stretches stream through backward search, which
    gives the range of windows with matching length ``WIDTH`` elsewhere.
-4. Anchors with more than ``HOT`` different stretches would overload a shard: their windows are counted by
-   hash instead, with partial aggregation. It is the exact way for the rest, at any size.
+4. An anchor with more than ``hot`` different stretches is split: its stretches are cut again, by the smallest hash of a
+   second order, and steps 2 and 3 are repeated for the parts. What is still over ``hot`` after ``LEVELS`` orders (windows that
+   differ in few words only) has its windows counted by hash, with partial aggregation: the exact way for the rest, at any size.
 5. A document's ranges meet its text, and the words in them go.
 
-Memory: a shard part holds about ``SHARD_WORDS`` words; nothing is gathered by key but a document's own ranges.
+Memory: a shard part holds about ``SHARD_WORDS`` words, and at most ``hot`` stretches of one anchor; nothing is gathered by
+key but a document's own ranges.
 
 Defined results: null and empty texts have no words (the digest is that of the empty text); documents
 shorter than a window lose nothing; repeated rows are copies of each other; rows that share an id are told
-apart by their texts; an empty table gives an empty result.
+apart by their texts; an empty table gives an empty result; very long texts are hashed step by step.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, mix64, runs, table, tidy, utf8
+from .common import cut, mix64, parts, table, tidy, utf8, word_hashes
 from .fm_index import FMIndex, repeated_range
 
-WIDTH, GRAM, HOT, SHARD_WORDS = 35, 5, 20_000, 400_000
+WIDTH, GRAM, HOT, SHARD_WORDS, LEVELS, SALTS = 35, 5, 2_000, 400_000, 3, 8
 _P, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 
@@ -53,14 +55,18 @@ class Hashes:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _P)
 
 
-def stretches(a: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of the stretches of documents ``a[bounds[i]:bounds[i + 1]]``."""
+def stretches(a: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows) of the stretches of documents ``a[bounds[i]:bounds[i + 1]]``. ``order``: which order
+    of the hashes decides what is smallest. A gram is as long as a window at most."""
+    if width < 1 or gram < 1:
+        raise ValueError("width and gram must be at least 1")
+    gram = min(gram, width)
     if len(a) < width:
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
     g = np.zeros(len(a) - gram + 1, np.uint64)
     for i in range(gram):
         g = g * _P + a[i : i + len(g)]
-    g = mix64(g)
+    g = mix64(g + np.uint64(order * int(_B) % (1 << 64)))
     span = width - gram + 1
     at, have = np.arange(len(g)), 1
     while have < span:
@@ -74,48 +80,40 @@ def stretches(a: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int =
     anchor = at[valid]
     if not len(valid):
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    # A row's windows begin anew: rows that follow each other never share a stretch.
+    row = np.searchsorted(bounds, valid, side="right")
+    edge = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))))
     return g[anchor[edge]], valid[edge], np.diff(np.append(edge, len(valid)))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], ids: WordIds, most: int = 2_000_000):
-    """(batch, words of each row, ids of all words, bounds) in parts of about ``most`` bytes."""
-    for whole in batches:
-        texts = utf8(whole, "text")
-        for x, y in runs(map(len, texts), most):
-            words = [t.split() for t in texts[x:y]]
-            bounds = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-            a = np.concatenate([ids.of(w) for w in words]) if words else np.zeros(0, np.uint64)
-            yield whole.slice(x, y - x), words, a, bounds
-
-
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
 def anchor_counts(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for _, _, a, bounds in _batches(batches, ids):
-            anchors, n = np.unique(stretches(a, bounds, width)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+        for whole in batches:
+            for b in parts(whole, "text", 2_000_000):
+                anchors, n = np.unique(stretches(*word_hashes(b.column("text")), width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(anchors), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     return rows.select("text").mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
 def anchored(rows: DataFrame, width: int) -> DataFrame:
-    """Every stretch: anchor, content hash, document, and place (first window * 64 + windows)."""
+    """Every stretch: anchor, content hash, document, first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for b, _, a, bounds in _batches(batches, ids):
-            anchor, first, n = stretches(a, bounds, width)
-            content = Hashes(a).of(first, first + n + width - 1)
-            doc = np.searchsorted(bounds, first, side="right") - 1
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), b.column("doc_id").take(at), b.column("th").take(at), pa.array((first - bounds[doc]) * 64 + n)], names=["anchor", "content", "doc_id", "th", "place"])
+        for whole in batches:
+            for b in parts(whole, "text", 2_000_000):
+                a, bounds = word_hashes(b.column("text"))
+                anchor, first, n = stretches(a, bounds, width)
+                content = Hashes(a).of(first, first + n + width - 1)
+                doc = np.searchsorted(bounds, first, side="right") - 1
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), b.column("doc_id").take(at), b.column("th").take(at), pa.array(first - bounds[doc]), pa.array(n)], names=["anchor", "content", "doc_id", "th", "first", "windows"])
 
-    return rows.mapInArrow(tidy(run), "anchor long, content long, doc_id long, th int, place long")
+    return rows.mapInArrow(tidy(run), "anchor long, content long, doc_id long, th int, first long, windows long")
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -124,27 +122,55 @@ def _same(a: DataFrame, b: DataFrame):
 
 def _with_text(picked: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents of ``picked`` stretches with their text, once for each (id, text), and the stretches as a list."""
-    lists = picked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("picked"))
+    lists = picked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first", "windows", "n")).alias("picked"))
     return rows.join(lists, _same(rows, lists)).select(rows["doc_id"], rows["th"], "text", "picked")
 
 
+_PAYLOAD = "doc_id long, th int, anchor long, first long, n long, words binary"
+
+
+def _payload_batch(doc_id: pa.Array, th: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    at = pa.array(cols[0], pa.int64())
+    return pa.RecordBatch.from_arrays([doc_id.take(at), th.take(at), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "th", "anchor", "first", "n", "words"])
+
+
 def _payload(docs: DataFrame, width: int) -> DataFrame:
     """The words (hashes) of each picked stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for b, _, a, bounds in _batches(batches, ids):
-            rows = []
-            for i, picked in enumerate(b.column("picked").to_pylist()):
-                own = a[bounds[i] : bounds[i + 1]]
-                for x in picked:
-                    s, n = x["place"] >> 6, x["place"] & 63
-                    rows.append((i, x["anchor"], x["place"], x["n"], own[s : s + n + width - 1].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            at = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("th").take(at), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "th", "anchor", "place", "n", "words"])
+        for whole in batches:
+            for b in parts(whole, "text", 2_000_000):
+                a, bounds = word_hashes(b.column("text"))
+                rows = []
+                for i, picked in enumerate(b.column("picked").to_pylist()):
+                    own = a[bounds[i] : bounds[i + 1]]
+                    rows += [(i, x["anchor"], x["first"], x["n"], own[x["first"] : x["first"] + x["windows"] + width - 1].tobytes()) for x in picked]
+                yield _payload_batch(b.column("doc_id"), b.column("th"), rows)
+
+    return docs.mapInArrow(tidy(run), _PAYLOAD)
+
+
+def _cut_again(payload: DataFrame, width: int, order: int) -> DataFrame:
+    """The stretches of ``payload`` cut by another order of the hashes, with their content hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                words = part.column("words").to_pylist()
+                bounds = np.concatenate(([0], np.cumsum([len(w) // 8 for w in words]))).astype(np.int64)
+                a = np.frombuffer(b"".join(words), np.uint64)
+                anchor, first, n = stretches(a, bounds, width, order=order)
+                content = Hashes(a).of(first, first + n + width - 1)
+                row = np.searchsorted(bounds, first, side="right") - 1
+                at = pa.array(row)
+                old = np.asarray(part.column("anchor"), np.int64).view(np.uint64)[row]
+                begin = np.asarray(part.column("first"), np.int64)[row] + first - bounds[row]
+                cuts = pa.array([a[s : s + k + width - 1].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), _signed(mix64(old + anchor * _P)), pa.array(begin), part.column("n").take(at), cuts, _signed(content)], names=["doc_id", "th", "anchor", "first", "n", "words", "content"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, th int, anchor long, place long, n long, words binary")
+    return payload.mapInArrow(tidy(run), _PAYLOAD + ", content long")
 
 
 def _search(width: int, shard_words: int):
@@ -161,7 +187,7 @@ def _search(width: int, shard_words: int):
         first, last = repeated_range(FMIndex(seq, width), seq, start[asked], size[asked] - width + 1, width)
         hit = np.flatnonzero(first >= 0)
         rows = [held[asked[i]] for i in hit]
-        begin = np.array([x[2] >> 6 for x in rows], np.int64)
+        begin = np.array([x[2] for x in rows], np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array(begin + first[hit], pa.int64()), pa.array(begin + last[hit] + width, pa.int64())],
             names=["doc_id", "th", "a", "b"],
@@ -170,7 +196,7 @@ def _search(width: int, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, anchor = [], 0, None
         for b in batches:
-            for d, t, x, p, n, w in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "anchor", "place", "n", "words")), strict=True):
+            for d, t, x, p, n, w in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "anchor", "first", "n", "words")), strict=True):
                 if x != anchor and words > shard_words:
                     yield ranges(held)
                     held, words = [], 0
@@ -201,32 +227,60 @@ def _windows(payload: DataFrame, width: int) -> DataFrame:
                 s = base[row] + offset
                 h = Hashes(np.frombuffer(b"".join(words), np.uint64)).of(s, s + width)
                 at = pa.array(row)
-                begin = np.array(part.column("place").to_pylist(), np.int64) >> 6
+                begin = np.asarray(part.column("first"), np.int64)
                 yield pa.RecordBatch.from_arrays([_signed(h), part.column("n").take(at), part.column("doc_id").take(at), part.column("th").take(at), pa.array(begin[row] + offset)], names=["h", "n", "doc_id", "th", "a"])
 
     return payload.mapInArrow(tidy(run), "h long, n long, doc_id long, th int, a long")
 
 
+def _salted(df: DataFrame, side: str) -> DataFrame:
+    """A hot content's rows over ``SALTS`` parts, and the other side of their join in each part."""
+    salt = F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int") if side == "rows" else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return df.withColumn("salt", salt)
+
+
+def _sharded(payload: DataFrame, width: int, shard_words: int) -> DataFrame:
+    return payload.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "first").mapInArrow(tidy(_search(width, shard_words)), "doc_id long, th int, a long, b long")
+
+
+def _split(payload: DataFrame, width: int, hot: int, shard_words: int, order: int = 1) -> DataFrame:
+    """(doc_id, th, a, b): repeated ranges among the stretches of anchors that have too many of them for a shard."""
+    if order < LEVELS:
+        finer = cut(_cut_again(payload, width, order))
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first")).alias("one")
+        contents = cut(finer.groupBy("anchor", "content").agg(F.sum("n").alias("t"), one))
+        copied = _salted(finer, "rows").join(_salted(contents.filter("t > 1").select("anchor", "content"), "keys"), ["anchor", "content", "salt"], "left_semi")
+        out = copied.select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.length("words") / 8).cast("long").alias("b"))
+        kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        picked = contents.join(kinds, "anchor").select("anchor", "content", "t", "one.doc_id", "one.th", "one.first", (F.col("kinds") > hot).alias("hot"))
+        f, k = finer.drop("n").alias("f"), picked.alias("k")
+        met = (F.col("f.anchor") == F.col("k.anchor")) & (F.col("f.content") == F.col("k.content")) & F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("f.th") == F.col("k.th")) & (F.col("f.first") == F.col("k.first"))
+        named = cut(f.join(k, met).select("f.doc_id", "f.th", "f.anchor", "f.first", F.col("k.t").alias("n"), "f.words", "k.hot"))
+        out = out.unionByName(_sharded(named.filter("not hot").drop("hot"), width, shard_words))
+        payload = named.filter("hot").drop("hot")
+        return out.unionByName(_split(payload, width, hot, shard_words, order + 1)) if payload.take(1) else out
+    windows = cut(_windows(payload, width).dropDuplicates(["h", "doc_id", "th", "a"]))
+    twice = windows.groupBy("h").agg(F.sum("n").alias("t")).filter("t > 1").select("h")
+    found = _salted(windows, "rows").join(_salted(twice, "keys"), ["h", "salt"], "left_semi")
+    return found.select("doc_id", "th", "a", (F.col("a") + width).alias("b"))
+
+
 def repeated_ranges(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, th, a, b): word ranges covered by repeated windows; ``docs`` has doc_id, text and th (a hash of the text)."""
     stretch = anchored(docs, width)
     # Written first, so that both sides of the join come from plain exchanges, whose hot partitions can be split.
     repeated = cut(anchor_counts(docs, width))
     found = cut(stretch.join(repeated, "anchor", "left_semi"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")).alias("one")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "first", "windows")).alias("one")
     contents = cut(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first))
-    width_of = (F.shiftright("place", 6), F.shiftright("place", 6) + F.col("place").bitwiseAND(63) + (width - 1))
-    copied = found.join(contents.filter("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "th", width_of[0].alias("a"), width_of[1].alias("b"))
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    picked = contents.join(kinds, "anchor").select("anchor", "n", "one.doc_id", "one.th", "one.place", (F.col("kinds") > hot).alias("hot"))
-    payload = _payload(_with_text(picked.filter("not hot"), docs), width)
-    searched = payload.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "place").mapInArrow(tidy(_search(width, shard_words)), "doc_id long, th int, a long, b long")
-    out = copied.unionByName(searched)
+    copied = _salted(found, "rows").join(_salted(contents.filter("n > 1").select("anchor", "content"), "keys"), ["anchor", "content", "salt"], "left_semi")
+    copied = copied.select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (width - 1)).alias("b"))
+    kinds = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    picked = contents.join(kinds, "anchor").select("anchor", "n", "one.doc_id", "one.th", "one.first", "one.windows", (F.col("kinds") > hot).alias("hot"))
+    out = copied.unionByName(_sharded(_payload(_with_text(picked.filter("not hot"), docs), width), width, shard_words))
     if kinds.filter(F.col("kinds") > hot).take(1):
-        windows = _windows(_payload(_with_text(picked.filter("hot"), docs), width), width)
-        windows = cut(windows.dropDuplicates(["h", "doc_id", "th", "a"]))
-        twice = windows.groupBy("h").agg(F.sum("n").alias("t")).filter("t > 1").select("h")
-        out = out.unionByName(windows.join(twice, "h", "left_semi").select("doc_id", "th", "a", (F.col("a") + width).alias("b")))
+        payload = _payload(_with_text(picked.filter("hot"), docs), width).dropDuplicates(["doc_id", "th", "anchor", "first"])
+        out = out.unionByName(_split(payload, width, hot, shard_words))
     return out
 
 

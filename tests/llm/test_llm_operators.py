@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.llm import chat_format, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts
-from engram.llm.common import WordIds, table
+from engram.llm.common import table, word_hashes
 from engram.llm.fm_index import FMIndex, repeated_range
 from engram.llm.queries import ORACLES, QUERIES
 
@@ -235,6 +235,25 @@ def test_substring_brute_force(spark, texts, how):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("width", [1, 3, 4, 12, 100])
+@pytest.mark.parametrize("how", [{}, {"hot": 1}])
+def test_substring_widths(spark, width, how):
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(160)]
+    docs = {i: [f"w{x}" for x in rng.integers(0, 4000 if width < 5 else 40, 30)] + passage[int(rng.integers(0, 30)) : int(rng.integers(100, 160))] + [f"v{x}" for x in rng.integers(0, 9000, 20)] for i in range(30)}
+    n = collections.Counter(tuple(w[j : j + width]) for w in docs.values() for j in range(len(w) - width + 1))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    for r in substring_dedup.remove(rows, width=width, **how).collect():
+        w = docs[r.doc_id]
+        gone = {p for j in range(len(w) - width + 1) if n[tuple(w[j : j + width])] > 1 for p in range(j, j + width)}
+        assert (r.n_words, r.n_removed) == (len(w), len(gone))
+
+
+def test_substring_rejects_no_width(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.stretches(np.zeros(3, np.uint64), np.array([0, 3]), 0)
+
+
 # Chat
 
 
@@ -329,9 +348,66 @@ def test_link_group_random(sets, leaders):
 
 
 def test_shingles_of_short_texts():
-    ids = WordIds()
-    assert len(jaccard_join.shingles(b"", ids)) == 0 and len(jaccard_join.shingles(b"a b", ids)) == 1
-    assert jaccard_join.shingles(b"A b", ids).tolist() == jaccard_join.shingles(b"a  B", ids).tolist() != jaccard_join.shingles(b"a b c", ids).tolist()
+    assert len(jaccard_join.shingles(b"")) == 0 and len(jaccard_join.shingles(b"a b")) == 1
+    assert jaccard_join.shingles(b"A b").tolist() == jaccard_join.shingles(b"a  B").tolist() != jaccard_join.shingles(b"a b c").tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="aB \n\té", max_size=40), max_size=8), st.sampled_from([1, 2, 7, 1 << 16]), st.booleans())
+def test_word_hashes_follow_the_words(rows, step, fold):
+    import pyarrow as pa
+
+    h, at = word_hashes(pa.array(["x", *rows], pa.string()).slice(1), fold=fold, step=step)
+    words = [w.lower() if fold else w for r in rows for w in (r or "").encode().split()]
+    assert np.diff(at).tolist() == [len((r or "").encode().split()) for r in rows] and len(h) == len(words)
+    seen = dict(zip(words, h.tolist(), strict=True))
+    assert [seen[w] for w in words] == h.tolist() and len(set(seen.values())) == len(seen)
+
+
+def test_word_hashes_of_long_words():
+    import pyarrow as pa
+
+    rows = ["x " * 40_000 + "A" * 70_000 + " b", "a" * 70_000 + " B", None, "b " + "q" * 600 + "  b", "c" * 200_000]
+    h, at = word_hashes(pa.array(rows), fold=True)
+    assert at.tolist() == [0, 40_002, 40_004, 40_004, 40_007, 40_008] and h[40_000] == h[40_002] and h[40_001] == h[40_003] == h[40_004] == h[40_006]
+    assert h.tolist() == word_hashes(pa.array(rows), fold=True, step=5)[0].tolist()
+
+
+def test_near_copies_with_common_boilerplate(spark):
+    """Many near copies, and other documents that share most of their words with them: links only where the sets say so."""
+    rng = np.random.default_rng(11)
+    common = [f"b{i}" for i in range(60)]
+    docs = {}
+    for g in range(40):
+        own = [f"g{g}x{i}" for i in range(int(rng.integers(12, 40)))]
+        for _ in range(int(rng.integers(1, 6))):
+            w = common + own
+            for p in rng.integers(0, len(w), int(rng.integers(0, 3))):
+                w = [*w[:p], f"e{rng.integers(0, 99)}", *w[p + 1 :]]
+            docs[len(docs)] = " ".join(w)
+    for _ in range(60):
+        w = list(common)
+        w[int(rng.integers(0, 60))] = f"e{rng.integers(0, 999)}"
+        docs[len(docs)] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in docs.items()}
+    for how in ({}, {"group_shingles": 200}):
+        assert {r.doc_id: r.component_id for r in jaccard_join.join(df, **how).collect()} == plain_components(sets)
+
+
+def test_prefixes_hold_a_shared_shingle_that_passes_the_filter():
+    rng = np.random.default_rng(12)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        pool = rng.permutation(200)
+        a = set(pool[:n].tolist())
+        b = set(rng.permutation(sorted(a))[: max(1, n - int(rng.integers(0, 12)))].tolist()) | set(pool[n : n + int(rng.integers(0, 12))].tolist())
+        if jaccard_join.linked(len(a & b), len(a), len(b)):
+            x, y = sorted(a), sorted(b)
+            first = min(a & b)
+            i, j = x.index(first), y.index(first)
+            assert i <= len(x) - jaccard_join.least_overlap(len(x)) and j <= len(y) - jaccard_join.least_overlap(len(y))
+            assert 4 * len(x) - 7 * i >= 3 * len(y) and 4 * len(y) - 7 * j >= 3 * len(x)
 
 
 # Pipeline
