@@ -5,17 +5,21 @@ matching length at each word says whether an item's window (13 words, or the who
 and the state's items say whose. Runs of words whose neighbours never stand together in an item are skipped
 before the automaton, since no window can lie across them.
 
-The items are read to the driver in shards of at most ``shard_words`` words; each shard is one broadcast
-automaton and one more pass of the same stage over the rows, so what is broadcast is bounded whatever the
-size of the benchmark.
+The items are read to the driver in shards of at most ``shard_words`` words, one broadcast automaton each, so what is broadcast
+is bounded whatever the size of the benchmark. With one shard the rows pass once and move nowhere. With more, each shard is a job
+of its own that writes the rows it hits, so a worker holds one automaton at a time, and the hits are merged by row.
 
 Defined results: null or empty texts have no words and are clean; items without words are skipped; a null
-item_id counts as the empty string; repeated rows are judged each on its own; an empty benchmark leaves all clean.
+item_id counts as the empty string; items that tie (equal words) are all named; repeated rows are judged each on its own; an empty
+benchmark leaves all clean; an empty table gives an empty result; very long texts are scanned in one pass; columns that are named like
+a result are replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, shielded, table, tidy, utf8
+from .common import cut, runs, shielded, table, tidy, utf8
 
-WINDOW = 13
+WINDOW, SHARD_WORDS = 13, 500_000
 #: A-Z is lowered; bytes of the class [0-9a-z] and all non-ASCII bytes stay; the rest become blanks.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -36,7 +40,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences, with each window's items on its states."""
+    """Generalised suffix automaton of word sequences, with each window's items on its states. Once built, all steps are in
+    one table (state and word to state), links and lengths in arrays: about a tenth of a kilobyte for each word of the items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.vocab = window, {}
@@ -46,14 +51,20 @@ class SuffixAutomaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        self.long: dict[int, set[str]] = {}
+        self.width = max(1, len(self.vocab))
+        self.edges = {state * self.width + c: to for state, steps in enumerate(self.next) for c, to in steps.items()}
+        del self.next
+        self.link, self.len = array("q", self.link), array("q", self.len)
+        self.long: dict[int, tuple[str, ...]] = {}
         self.short: dict[int, list[tuple[int, str]]] = {}
         for name, seq in ids:
             at = 0
             for i, c in enumerate(seq):
-                at = self.next[at][c]
+                at = self.edges[at * self.width + c]
                 if i + 1 >= window:
-                    self.long.setdefault(self.of_length(at), set()).add(name)
+                    state = self.of_length(at)
+                    if name not in (had := self.long.get(state, ())):
+                        self.long[state] = (*had, name)
             if len(seq) < window:
                 self.short.setdefault(at, []).append((len(seq), name))
         self.shorter = self._nearest_short()
@@ -100,22 +111,22 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def _nearest_short(self) -> list[int]:
-        found = [-1] * len(self.len)
+    def _nearest_short(self) -> array:
+        found = array("q", [-1]) * len(self.len)
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
             up = self.link[v]
             found[v] = up if up in self.short else found[up]
         return found
 
-    def scan(self, seq: list[int]) -> Iterator[tuple[int, int, list[str]]]:
+    def scan(self, seq: list[int]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
         """(start, end, items) of each window's occurrence, from the matching lengths along ``seq``."""
-        nxt, link, lens, w = self.next, self.link, self.len, self.window
+        edges, width, link, lens, w = self.edges, self.width, self.link, self.len, self.window
         at = length = 0
         for i, c in enumerate(seq):
-            while at and c not in nxt[at]:
+            while at and at * width + c not in edges:
                 at = link[at]
                 length = lens[at]
-            to = nxt[at].get(c)
+            to = edges.get(at * width + c)
             if to is None:
                 at = length = 0
                 continue
@@ -126,7 +137,7 @@ class SuffixAutomaton:
             while v != -1:
                 for k, name in self.short[v]:
                     if k <= length:
-                        yield i + 1 - k, i + 1, [name]
+                        yield i + 1 - k, i + 1, (name,)
                 v = self.shorter[v]
 
     def hits(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
@@ -186,41 +197,79 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -
     yield held
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 1_000_000) -> DataFrame:
+RESULTS = {"_n_words": "long", "_n_hit": "long", "_longest": "long", "_spans": "binary", "_items": "array<string>"}
+
+
+def _told(n_words: list[int], ranges: list[list[tuple[int, int]]], names: list[list[str]]) -> dict[str, pa.Array]:
+    return {
+        "_n_words": pa.array(n_words, pa.int64()),
+        "_n_hit": pa.array([sum(y - x for x, y in r) for r in ranges], pa.int64()),
+        "_longest": pa.array([max((y - x for x, y in r), default=0) for r in ranges], pa.int64()),
+        "_spans": pa.array([np.array(r, "<i8").tobytes() if r else None for r in ranges], pa.binary()),
+        "_items": pa.array(names, pa.list_(pa.string())),
+    }
+
+
+def _split(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    for whole in batches:
+        texts = utf8(whole, text_col)
+        for a, b in runs(map(len, texts), 2_000_000):
+            yield whole.slice(a, b - a), [words_of(t) for t in texts[a:b]]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_hit``, ``_longest`` (words of the longest hit span), ``_spans`` (binary: pairs of
     int64 word positions, merged) and ``_items`` (sorted)."""
     spark = docs.sparkSession
-    names = docs.columns
-    empty = {"_n_words": "long", "_n_hit": "long", "_longest": "long", "_spans": "binary", "_items": "array<string>"}
-    df = docs.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    schema = df.schema
-    for items in shards(benchmark, item_id, item_text, shard_words):
+    docs = docs.select(*(c for c in docs.columns if c not in RESULTS))
+    docs, new, _ = shielded(docs)
+    text, names, old = new[text_col], list(new.values()), list(new)
+    every = shards(benchmark, item_id, item_text, shard_words)
+    first, second = next(every), next(every, None)
+    schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in RESULTS.items()}).schema
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(n).alias(c) for n, c in zip(names, old, strict=True)), *RESULTS)
+
+    if second is None:
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, words in _split(batches, text):
+                found = shared.value.hits(words)
+                told = _told([len(w) for w in words], [r for r, _ in found], [sorted(n) for _, n in found])
+                yield pa.RecordBatch.from_arrays([*part.columns, *told.values()], names=[*names, *told])
+
+        return back(docs.mapInArrow(tidy(run), schema))
+
+    # Numbered and written once, so that all shards speak of the same rows.
+    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    hits = None
+    for items in itertools.chain((first, second), every):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = shared.value
-            for whole in batches:
-                texts = utf8(whole, text_col)
-                for a, b in runs(map(len, texts), 2_000_000):
-                    part = whole.slice(a, b - a)
-                    split = [words_of(t) for t in texts[a:b]]
-                    every, found = [], []
-                    for (ranges, names_), before, had in zip(machine.hits(split), part.column("_spans").to_pylist(), part.column("_items").to_pylist(), strict=True):
-                        if before:
-                            ranges = merged(ranges + [tuple(x) for x in np.frombuffer(before, "<i8").reshape(-1, 2).tolist()])
-                        every.append(ranges)
-                        found.append(sorted(names_.union(had or ())))
-                    new = {
-                        "_n_words": pa.array([len(w) for w in split], pa.int64()),
-                        "_n_hit": pa.array([sum(y - x for x, y in r) for r in every], pa.int64()),
-                        "_longest": pa.array([max((y - x for x, y in r), default=0) for r in every], pa.int64()),
-                        "_spans": pa.array([np.array(r, "<i8").tobytes() if r else None for r in every], pa.binary()),
-                        "_items": pa.array(found, pa.list_(pa.string())),
-                    }
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new.values()], names=[*names, *new])
-
-        df = df.mapInArrow(tidy(run), schema)
-    return df
+        def hit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part, words in _split(batches, text):
+                found = shared.value.hits(words)
+                at = [i for i, (r, _) in enumerate(found) if r]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row").take(pa.array(at, pa.int64())), pa.array([np.array(found[i][0], "<i8").tobytes() for i in at], pa.binary()), pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.string()))],
+                    names=["_row", "spans", "items"],
+                )
+
+        own = cut(docs.select("_row", text).mapInArrow(tidy(hit), "_row long, spans binary, items array<string>"))
+        shared.unpersist()
+        hits = own if hits is None else hits.unionByName(own)
+    lists = hits.groupBy(F.col("_row").alias("_hit")).agg(F.collect_list("spans").alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_names"))
+    met = docs.join(lists, F.col("_row") == F.col("_hit"), "left").select(*names, "_all", "_names")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _split(batches, text):
+            ranges = [merged([tuple(x) for s in own or () for x in np.frombuffer(s, "<i8").reshape(-1, 2).tolist()]) for own in part.column("_all").to_pylist()]
+            told = _told([len(w) for w in words], ranges, [n or [] for n in part.column("_names").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *told.values()], names=[*names, *told])
+
+    return back(met.mapInArrow(tidy(merge), schema))
 
 
 def judged(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

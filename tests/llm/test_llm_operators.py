@@ -247,6 +247,21 @@ def test_shards_agree(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_twenty_shards_take_one_automaton_at_a_time(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"q{i}w{j}" for j in range(int(rng.integers(1, 40)))] for i in range(60)]
+    texts = [" ".join(f"f{x}" for x in rng.integers(0, 99, 30)) + " " + " ".join(items[i % 60][: int(rng.integers(1, 40))]) + " end " + " ".join(items[(7 * i) % 60]) for i in range(200)]
+    docs = spark.createDataFrame([(i % 150, t, "a", 1) for i, t in enumerate(texts)] + [(None, None, "b", 2)], "doc_id long, text string, _row string, _n_hit int")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    words = sum(map(len, items))
+    some = list(decontaminate.shards(bench, "item_id", "text", words // 20))
+    assert len(some) >= 20 and max(sum(len(w) for _, w in x) for x in some) <= max(words // 20, 40)
+    one, many = (decontaminate.scan(docs, bench, shard_words=n) for n in (10**6, words // 20))
+    assert one.columns == many.columns == ["doc_id", "text", "_row", *decontaminate.RESULTS]
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert many._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1  # the shards' passes are over
+
+
 def test_cut_rest(spark):
     docs = spark.createDataFrame([(1, "Alpha, beta gamma; " + "filler " * 100)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
