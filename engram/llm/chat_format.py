@@ -9,7 +9,8 @@ conversation is the concatenation of its fragments by turn, so a conversation of
 gathering, and ``token_start`` (a running sum) places each fragment.
 
 Defined results: null text and null role count as empty; turns that tie are ordered by role, then text; a
-null conv_id is a conversation of its own; an empty table gives an empty result.
+null conv_id is a conversation of its own; repeated rows are turns each; an empty table gives an empty result; very long texts are
+encoded whole, and a conversation of any length is read as a stream.
 """
 
 from __future__ import annotations
@@ -83,26 +84,28 @@ class Template:
         return unescape(role), unescape(text), unescape(self.text(ids[mask == 1])), sum(map(len, RESERVED)) + len(role) + len(text)
 
 
-def fragments(turns: DataFrame, vocab: str | None = None, *, train_role: str = "assistant") -> DataFrame:
-    """conv_id, turn, role, text with ``ids`` and ``mask`` (binary: unsigned 32-bit ids, one byte per id) and ``n_ids``."""
-    path = vocab or default_vocab()
+def fragments(turns: DataFrame, vocab: str | None = None, *, train_role: str = "assistant", texts: bool = False) -> DataFrame:
+    """conv_id, turn, ``ids`` and ``mask`` (binary: unsigned 32-bit ids, one byte per id) and ``n_ids``; role and text too if asked for."""
+    path, kept = vocab or default_vocab(), ["role", "text"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Template(path)
         for b in batches:
             made = [t.fragment(r, x, r == train_role) for r, x in zip(strings(b, "role"), strings(b, "text"), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary()), pa.array([len(i) for i, _ in made], pa.int64())],
-                names=["conv_id", "turn", "ids", "mask", "n_ids"],
+                [b.column("conv_id"), b.column("turn"), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary()), pa.array([len(i) for i, _ in made], pa.int64()), *(b.column(c) for c in kept)],
+                names=["conv_id", "turn", "ids", "mask", "n_ids", *kept],
             )
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.mapInArrow(tidy(run), "conv_id long, turn long, ids binary, mask binary, n_ids long")
+    return rows.mapInArrow(tidy(run), "conv_id long, turn long, ids binary, mask binary, n_ids long" + ", role string, text string" * texts)
 
 
 def placed(frags: DataFrame) -> DataFrame:
-    """The fragments with the place of their first id in the conversation (a running sum by turn)."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "ids").rowsBetween(Window.unboundedPreceding, 0)
+    """The fragments (with role and text) with the place of their first id in the conversation: a running sum by turn, ties by
+    role, then text, as everywhere."""
+    tie = [F.coalesce(F.col(c), F.lit("")) for c in ("role", "text")]
+    order = Window.partitionBy("conv_id").orderBy("turn", *tie).rowsBetween(Window.unboundedPreceding, 0)
     return frags.withColumn("token_start", F.sum("n_ids").over(order) - F.col("n_ids"))
 
 

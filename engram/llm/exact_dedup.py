@@ -6,7 +6,8 @@ group that holds a third of all rows arrives as one row per task; rows meet thei
 in an equi-join whose hot partitions adaptive execution splits. No group is gathered in a task.
 
 Defined results: a null text counts as empty; null ids sort after all others; of rows that repeat the same
-id and the same text exactly one is kept; an empty table gives an empty result.
+id and the same text exactly one is kept, however often they repeat; texts of equal length tie to the smallest id; an empty table gives
+an empty result; very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, cut, shielded, table
 
-PREFIX = 256
+PREFIX, BLOCK = 256, 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -66,7 +67,11 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, h
     twice = twice.select(F.col("keep_id").alias("_k"), F.col("_len").alias("_l"), F.col("text_sha256").alias("_s"), "_most")
     out = out.join(twice, F.col("keep_id").eqNullSafe(F.col("_k")) & (F.col("_len") == F.col("_l")) & F.col("text_sha256").eqNullSafe(F.col("_s")), "left")
     best = F.col("_stays") & (F.col("_most").isNull() | (F.col("_chars") == F.col("_most")))
-    out = out.select("doc_id", "keep_id", "group_size", "text_sha256", best.alias("_best"), F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))).alias("_i"))
+    out = out.select("doc_id", "keep_id", "group_size", "text_sha256", best.alias("_best"), "_same")
+    # Dealt out in two steps, so that no array grows with the number of repeats.
+    out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_same") - 1) / BLOCK).cast("long"))))
+    start, end = F.col("_block") * BLOCK, F.least((F.col("_block") + 1) * BLOCK, F.col("_same"))
+    out = out.withColumn("_i", F.explode(F.sequence(start + 1, end)))
     return out.select("doc_id", "keep_id", "group_size", (F.col("_best") & (F.col("_i") == 1)).alias("kept"), "text_sha256")
 
 

@@ -10,7 +10,9 @@ the highest. Sizes are fixed by parameters, so nothing that reaches the driver g
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text whose n-grams are all
 unknown gets the most frequent learned language with score 0; nothing learned: ``und``; rows with null or
-empty lang teach nothing; an empty table gives an empty result.
+empty lang teach nothing; languages that tie: the first by name; repeated rows teach each time and are judged each on its own;
+an empty table gives an empty result; very long texts are read whole, in parts cut between words; columns that are named
+like a result are replaced by it. More than ``MAX_LANGUAGES`` different values of lang are an error, as each costs filters of a fixed size.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, runs, strings, summed, table, tidy
 
-UND = "und"
+UND, MAX_LANGUAGES = "und", 1000
 _SPACE = 32
 _is_letter = np.zeros(1 << 16, bool)
 
@@ -55,9 +57,15 @@ def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _sliced(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(row, parts) in parts of at most ``most`` characters; parts of a long text overlap by nothing but a blank edge."""
+    """(row, parts) in parts of at most about ``most`` characters. A long text is cut at characters that aren't letters, where no
+    trigram reads across, so the parts hold the same trigrams as the whole; in a longer run of letters the cut falls inside."""
     for i, t in enumerate(texts):
-        yield i, [t[k : k + most] for k in range(0, len(t), most)] or [""]
+        out, at = [], 0
+        while len(t) - at > most:
+            end = next((k for k in range(at + most, at + most // 2, -1) if not t[k - 1].isalpha()), at + most)
+            out.append(t[at:end])
+            at = end
+        yield i, [*out, t[at:]]
 
 
 class Model:
@@ -109,10 +117,12 @@ class Model:
         return names, scores
 
 
-def train(rows: DataFrame, *, bits: int = 16, share: float = 0.4, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count the n-grams of all ``rows`` by language and build the filters."""
+def train(rows: DataFrame, *, bits: int = 16, share: float = 0.4, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
+    """Count the n-grams of all ``rows`` by language and build the filters. ``max_languages``: more different values are an error."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and lang <> ''")
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()]
+    langs = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_languages + 1).collect()]
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} different values of {lang_col}: clean the column or raise max_languages")
     index, size = {x: i for i, x in enumerate(langs)}, 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,8 @@ def train(rows: DataFrame, *, bits: int = 16, share: float = 0.4, text_col: str
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` (without the text) with lang_pred and score; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != text_col]
+    names = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    docs = docs.select(*names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

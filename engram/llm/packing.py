@@ -3,14 +3,15 @@
 Documents become token pieces of at most ``capacity``. Each partition packs its pieces best-fit decreasing
 and compares its bin count with a lower bound from dual-feasible functions. A partition that meets its
 bound is certified and done. In the others, bins with room left give their pieces to an exchange: they are
-dealt out anew over fewer partitions and packed again, and the outcome stands only where it needs fewer bins.
+dealt out anew over fewer partitions and packed again, and the outcome stands only where it needs fewer bins. Exchanges go
+on until all partitions are certified, one is left, or an exchange saves no bin.
 
 A partition holds at most about ``per_partition`` pieces (tens of bytes each), so memory is bounded; the
 exchange shrinks from round to round.
 
 Defined results: null and empty texts are one piece (the end id alone); a text of more than ``capacity`` ids
-is cut from its end, so that its first piece may be shorter; repeated rows are packed each on its own; an
-empty table gives an empty result.
+is cut from its end, so that its first piece may be shorter; repeated rows are packed each on its own and dealt out like others;
+pieces of equal length are packed in the order they come; an empty table gives an empty result; very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -162,21 +163,27 @@ def _pack(round_no: int, capacity: int):
     return run
 
 
-def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_partition: int = 50_000, rounds: int = 4) -> DataFrame:
-    """``rows`` of ``pieces`` with sequence_id and offset. ``rounds``: exchanges after the first packing at most."""
+def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_partition: int = 50_000, rounds: int = 100) -> DataFrame:
+    """``rows`` of ``pieces`` with sequence_id and offset. ``rounds``: exchanges after the first packing at most; they end
+    before, when all partitions are certified, one is left, or an exchange saves no bin."""
     rows = cut(rows)
     parts = max(1, math.ceil(rows.count() / per_partition))
-    now = cut(rows.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(_pack(0, capacity), _COLS))
+    # By the place in the written table too, so that rows that repeat (or null ids) are dealt out like any others.
+    dealt = rows.withColumn("_place", F.monotonically_increasing_id())
+    now = cut(dealt.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", "_place")).drop("_place").mapInArrow(_pack(0, capacity), _COLS))
     done, loose = [now.filter("not open")], now.filter("open")
-    for r in range(1, rounds + 1):
+    bins = lambda df: df.select("sequence_id").distinct().count()
+    for r in range(1, min(rounds, 100) + 1):
         n = loose.count()
         if not n or parts == 1:
             break
-        parts = min(parts - 1, max(1, math.ceil(n / per_partition)))
+        before, parts = bins(loose), min(parts - 1, max(1, math.ceil(n / per_partition)))
         # Whole bins move, so an earlier packing can stand where the new one is no better.
         now = cut(loose.repartition(parts, F.xxhash64("sequence_id", F.lit(r))).mapInArrow(_pack(r, capacity), _COLS))
         done.append(now.filter("not open"))
         loose = now.filter("open")
+        if bins(now) >= before:
+            break
     out = loose
     for d in done:
         out = out.unionByName(d)

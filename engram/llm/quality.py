@@ -9,9 +9,14 @@ Only labels of rows that aren't held out are learned from; the network is fitted
 ``MAX_LABELLED`` labelled rows (those with the smallest id hash), a documented bound. Word vectors are
 counted over all documents.
 
+Words share ``ROWS`` hashed rows on purpose: two words of one row share a vector, which a larger table makes rarer and never
+changes what counts. The table's size is a parameter of the model, not a cap on the vocabulary: every word is counted.
+
 Defined results: null and empty texts are scored from their (zero) pooled vector; with no labels, or labels of one
 class, the score is that class's smoothed rate; an id that is labelled more than once teaches once per
-label; an empty table gives an empty result.
+label; of rows that share a labelled id the one with the smallest text hash teaches; repeated rows count in the word vectors each
+time and are scored each on its own; equal hashes are broken by id and label; an empty table gives an empty result; very long texts
+are read whole; columns that are named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -184,7 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").filter(~held_out(F.col("_id")))
     picked = usable.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")  # max_labelled rows at most
-    got = features(rows, vectors, ["_id", "_y"]).collect()
+    # One row of a repeated id teaches, so what is collected is max_labelled rows at most too.
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.join(F.broadcast(picked.groupBy("_id", "_y").agg(F.count(F.lit(1)).cast("int").alias("_times"))), ["_id", "_y"])
+    got = [r for r in features(rows, vectors, ["_id", "_y", "_times"]).collect() for _ in range(r["_times"])]
     got.sort(key=lambda r: (r["_id"], r["_y"], bytes(r.x)))
     got = [got[i] for i in np.random.default_rng(1).permutation(len(got))]
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), "<f4").reshape(len(got), DIMS + 3)
@@ -195,7 +203,8 @@ def score(docs: DataFrame, model, *, text_col: str = "text", threshold: float =
     """``docs`` with score and predicted, without the text unless asked for."""
     vectors, network = model
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    names = [c for c in docs.columns if keep_text or c != text_col]
+    names = [c for c in docs.columns if (keep_text or c != text_col) and c not in ("_score", "_predicted")]
+    docs = docs.select(*names, *([] if keep_text else [text_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = RowOf()

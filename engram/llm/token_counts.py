@@ -5,7 +5,9 @@ vocabulary is a trie; every node has a failure link and the number of pieces tha
 so a word's piece count comes from one pass over its characters, with no backtracking and no piece ever built.
 
 Defined results: words are the runs between blanks of the whole text; null and empty texts have 0 words and
-0 tokens; a word that the vocabulary can't spell counts as one unknown token.
+0 tokens; a word that the vocabulary can't spell counts as one unknown token; vocabulary entries that repeat are one, and of entries
+that tie at a place the longest is taken; repeated rows are counted each on its own; an empty table gives an empty result; very long
+texts and words cost in proportion to their length.
 """
 
 from __future__ import annotations

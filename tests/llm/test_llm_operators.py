@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from engram.llm import chat_format, decontaminate, jaccard_join, packing, pii, quality, substring_dedup, token_counts
+from engram.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, pii, quality, substring_dedup, token_counts
 from engram.llm.common import table, word_hashes
 from engram.llm.fm_index import FMIndex, repeated_range
 from engram.llm.queries import ORACLES, QUERIES
@@ -161,6 +161,95 @@ def test_language_accuracy(spark):
     assert held and np.mean([r.lang == r.lang_pred for r in held]) > 0.95
 
 
+def test_language_against_plain_sets(spark):
+    """Brute force: each language's set of trigrams from plain counts, without filters; the languages named are the same."""
+    import zlib
+
+    rows = [(r.doc_id, r.text or "", r.lang) for r in table(spark, DATA, "documents").collect()]
+
+    def trigrams(t):
+        t = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        return [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(trigrams(t))
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    best = collections.Counter()
+    for c in rate.values():
+        for g, r in c.items():
+            best[g] = max(best[g], r)
+    sets = {x: {g for g, r in c.items() if r >= 0.4 * best[g]} for x, c in rate.items()}
+    got = {r.doc_id: r.lang_pred for r in QUERIES["op2_language_id"](spark, DATA).collect()}
+    same = []
+    for i, t, _ in rows:
+        gs = trigrams(t)
+        votes = {x: sum(g in s for g in gs) for x, s in sets.items()}
+        top = sorted(votes.values())
+        if gs and top[-1] - top[-2] > 0.02 * len(gs):  # beyond what false positives may turn
+            same.append(got[i] == max(votes, key=votes.get))
+    assert len(same) > 0.8 * len(rows) and np.mean(same) > 0.995
+
+
+def test_long_texts_are_cut_between_words():
+    t = "".join(f"word{i} " for i in range(40_000))
+    ((_, parts),) = language_id._sliced([t], 1000)
+    assert "".join(parts) == t and all(p.endswith((" ", *"0123456789")) for p in parts) and max(map(len, parts)) <= 1000
+    a, b = (np.bincount(language_id.grams(x, 12)[0], minlength=4096) for x in ([t], parts))
+    assert a.tolist() == b.tolist()
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.train(rows, max_languages=7)
+    assert language_id.train(rows, max_languages=8).langs == [f"l{i}" for i in range(8)]
+
+
+def test_word_vectors_against_plain_counts(spark):
+    texts = ["the cat sat on the mat. The END end end", "", None, "cat dog cat", "a b"]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+    plus, minus = quality.index_vectors()
+    want, known = np.zeros((quality.ROWS, quality.DIMS)), quality.RowOf()
+    for t in texts:
+        rows = []
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", (t or "").encode()):
+            row = known[w]
+            rows.append((row, quality.AGAIN if rows and rows[-1][0] == row and row > quality.GAP else row))
+        rows = [r for _, r in rows]
+        for i, r in enumerate(rows):
+            for j in range(max(0, i - quality.REACH), min(len(rows), i + quality.REACH + 1)):
+                if i != j:
+                    want[r, plus[rows[j]]] += 1
+                    want[r, minus[rows[j]]] -= 1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6)
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_network_probabilities_are_calibrated():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 6))
+    p = 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 1] * x[:, 2]))
+    y = (rng.random(6000) < p).astype(int)
+    net = quality.Network(x[:4000], y[:4000])
+    q = net.score(x[4000:])
+    plain = quality._sigmoid(net._logit((x[4000:] - net.mean) / net.scale))
+    loss = lambda r: -np.mean(np.log(np.where(y[4000:] == 1, r, 1 - r)))
+    assert loss(q) <= loss(plain) + 0.01
+    for lo in np.arange(0, 1, 0.2):
+        own = (q >= lo) & (q < lo + 0.2)
+        if own.sum() > 100:
+            assert abs(q[own].mean() - y[4000:][own].mean()) < 0.1
+
+
+def test_a_labelled_id_that_repeats_teaches_once(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} of {'good' if i % 2 else 'bad'} words") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    _, net = quality.train(docs, labels)
+    assert net.fitted and net.rate == (sum(i % 2 for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5) + 1) / (sum(1 for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5) + 2)
+
+
 def test_quality_ranks_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = quality.query(spark, d).join(table(spark, d, "labels"), "doc_id").filter("held_out").collect()
@@ -220,6 +309,25 @@ def test_special_token_text_gets_the_files_ids():
     assert packing.ids_of(t, packing.default_vocab())[:-1].tolist() == Tokenizer.from_file(packing.default_vocab()[0]).encode(t, add_special_tokens=False).ids
 
 
+def test_repeated_rows_are_dealt_out_and_rounds_end(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 1 + i % 3 * 300, 7) for i in range(3000)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    got = packing.pack(rows, per_partition=100)
+    assert got.count() == 3000
+    first = rows.withColumn("_place", F.monotonically_increasing_id()).repartition(30, F.xxhash64("doc_id", "piece", "ids_crc32", "_place"))
+    assert max(r[0] for r in first.groupBy(F.spark_partition_id()).count().select("count").collect()) < 300
+    lengths = np.array([r.length for r in got.select("length").collect()])
+    assert got.select("sequence_id").distinct().count() <= 1.06 * packing.lower_bound(lengths) + 1  # each partition of 100 is certified on its own
+
+
+# Exact dedup
+
+
+def test_rows_repeated_very_often(spark):
+    rows = spark.range(25_001).selectExpr("cast(7 as bigint) doc_id", "'same text' text").unionByName(spark.createDataFrame([(3, "same  text")], "doc_id long, text string"))
+    got = exact_dedup.decide(rows, hash_all=True).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 3, 25_002, True, 1), (7, 3, 25_002, False, 25_001)]
+
+
 # Decontamination
 
 
@@ -328,10 +436,17 @@ def test_chat_round_trip(text, role):
 
 
 def test_fragments_are_placed(spark):
-    p = chat_format.placed(chat_format.fragments(table(spark, DATA, "conversations"))).filter("conv_id = 0").orderBy("turn").collect()
+    p = chat_format.placed(chat_format.fragments(table(spark, DATA, "conversations"), texts=True)).filter("conv_id = 0").orderBy("turn").collect()
     assert [r.token_start for r in p] == np.cumsum([0] + [r.n_ids for r in p])[:-1].tolist()
 
 
+def test_ties_are_placed_by_role_and_text(spark):
+    rows = [(1, 0, "user", "zz zz zz"), (1, 1, "b", "long text of many words"), (1, 1, "b", "a"), (1, 1, "a", "zebra zebra"), (1, 1, None, "q")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.placed(chat_format.fragments(t, texts=True)).orderBy("token_start").collect()
+    assert [(r.turn, r.role, r.text) for r in got] == sorted(rows_ := [r[1:] for r in rows], key=lambda r: (r[0], r[1] or "", r[2])) and len(rows_) == 5
+
+
 # Token counts
 
 
