@@ -122,7 +122,7 @@ def _same(a: DataFrame, b: DataFrame):
 
 def _with_text(picked: DataFrame, rows: DataFrame) -> DataFrame:
     """Documents of ``picked`` stretches with their text, once for each (id, text), and the stretches as a list."""
-    lists = picked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first", "windows", "n")).alias("picked"))
+    lists = picked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first", "windows", "n", "hot")).alias("picked"))
     return rows.join(lists, _same(rows, lists)).select(rows["doc_id"], rows["th"], "text", "picked")
 
 
@@ -130,13 +130,14 @@ _PAYLOAD = "doc_id long, th int, anchor long, first long, n long, words binary"
 
 
 def _payload_batch(doc_id: pa.Array, th: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
     at = pa.array(cols[0], pa.int64())
-    return pa.RecordBatch.from_arrays([doc_id.take(at), th.take(at), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "th", "anchor", "first", "n", "words"])
+    kinds = [pa.int64()] * 3 + [pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([doc_id.take(at), th.take(at), *(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True))], names=["doc_id", "th", "anchor", "first", "n", "words", "hot"])
 
 
 def _payload(docs: DataFrame, width: int) -> DataFrame:
-    """The words (hashes) of each picked stretch."""
+    """The words (hashes) of each picked stretch, and whether its anchor is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,10 +146,10 @@ def _payload(docs: DataFrame, width: int) -> DataFrame:
                 rows = []
                 for i, picked in enumerate(b.column("picked").to_pylist()):
                     own = a[bounds[i] : bounds[i + 1]]
-                    rows += [(i, x["anchor"], x["first"], x["n"], own[x["first"] : x["first"] + x["windows"] + width - 1].tobytes()) for x in picked]
+                    rows += [(i, x["anchor"], x["first"], x["n"], own[x["first"] : x["first"] + x["windows"] + width - 1].tobytes(), x["hot"]) for x in picked]
                 yield _payload_batch(b.column("doc_id"), b.column("th"), rows)
 
-    return docs.mapInArrow(tidy(run), _PAYLOAD)
+    return docs.mapInArrow(tidy(run), _PAYLOAD + ", hot boolean")
 
 
 def _cut_again(payload: DataFrame, width: int, order: int) -> DataFrame:
@@ -277,10 +278,12 @@ def repeated_ranges(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT, shar
     copied = copied.select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (width - 1)).alias("b"))
     kinds = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     picked = contents.join(kinds, "anchor").select("anchor", "n", "one.doc_id", "one.th", "one.first", "one.windows", (F.col("kinds") > hot).alias("hot"))
-    out = copied.unionByName(_sharded(_payload(_with_text(picked.filter("not hot"), docs), width), width, shard_words))
+    # Written once for both ways, so that the texts move once.
+    payload = cut(_payload(_with_text(picked, docs), width))
+    out = copied.unionByName(_sharded(payload.filter("not hot").drop("hot"), width, shard_words))
     if kinds.filter(F.col("kinds") > hot).take(1):
-        payload = _payload(_with_text(picked.filter("hot"), docs), width).dropDuplicates(["doc_id", "th", "anchor", "first"])
-        out = out.unionByName(_split(payload, width, hot, shard_words))
+        again = payload.filter("hot").drop("hot").dropDuplicates(["doc_id", "th", "anchor", "first"])
+        out = out.unionByName(_split(again, width, hot, shard_words))
     return out
 
 
