@@ -20,6 +20,9 @@ STOP_WORDS = "the a an and or of to in on for with is are was were be been i my
 CUT_MARKS = ("。", "！", "？", ".", "!", "?", "；", ";")
 
 CJK = "一-鿿"
+#: Inside a character class: marks that end a sentence, marks that a long sentence is packed at, and blanks of any script.
+ENDS, COMMAS = "。！？；!?", "，,、：:"
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tokens(t: Column) -> Column:
@@ -39,34 +42,42 @@ def is_junk(t: Column) -> Column:
 
 
 def state_key(k: Column) -> Column:
-    """Trimmed and lowered; empty is null."""
-    return F.nullif(F.lower(F.trim(k)), F.lit(""))
+    """Without blanks around it, case folded; empty is null."""
+    return F.nullif(folded(_strip(k)), F.lit(""))
+
+
+def folded(x: Column) -> Column:
+    """Case folding: what differs by case only becomes one text (ß is ss, a final sigma a sigma, a dotless i stays). Cherokee
+    becomes small letters, where Unicode folds to capitals."""
+    kept = "\ue000"  # a private character in the place of the dotless i
+    low = F.lower(F.upper(F.replace(x, F.lit("ı"), F.lit(kept))))
+    for a, b in (("ς", "σ"), ("ß", "ss"), (kept, "ı")):
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return low
 
 
 def chunks(t: Column, least: int = 10, most: int = 120) -> Column:
-    """Sentences; long ones repacked at commas; a short piece joins the piece before unless that one is finished."""
-    pieces = F.filter(F.transform(F.split(t, r"(?<=[。！？；!?\n])\s*"), lambda x: _strip(x)), lambda x: x != "")
-
-    def repack(p: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("b"))
-        folded = F.aggregate(
-            F.split(p, r"(?<=[，,、：:])\s*"),
-            start,
-            lambda a, s: F.when((a.b != "") & (F.length(a.b) + F.length(s) > most), F.struct(F.concat(a.out, F.array(a.b)).alias("out"), s.alias("b"))).otherwise(F.struct(a.out.alias("out"), F.concat(a.b, s).alias("b"))),
-        )
-        return F.when(F.length(p) > most, F.when(folded.b != "", F.concat(folded.out, F.array(folded.b))).otherwise(folded.out)).otherwise(F.array(p))
-
-    flat = F.flatten(F.transform(pieces, repack))
-    glued = F.aggregate(
-        flat,
-        F.array().cast("array<string>"),
-        lambda a, c: F.when((F.size(a) > 0) & (F.length(c) < least) & ~F.element_at(a, -1).rlike("[。！？；!?…]$"), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), c)))).otherwise(F.concat(a, F.array(c))),
-    )
-    return F.filter(F.transform(glued, _strip), lambda x: x != "")
+    """Sentences; long ones repacked at commas; a short piece joins the piece before unless that one is finished.
+
+    Linear in the text: a long sentence is packed by one pattern (the longest head of at most ``most`` characters that ends at a
+    comma, else the whole head up to its comma), and whether a piece joins depends only on its length and the last character before.
+    """
+    sentences = F.filter(F.transform(F.regexp_extract_all(t, F.lit(f"[^{ENDS}\n]*[{ENDS}\n]|[^{ENDS}\n]+"), F.lit(0)), _strip), lambda x: x != "")
+    packs = F.lit(rf"(?s).{{1,{most}}}\z|.{{0,{most - 1}}}[{COMMAS}]|[^{COMMAS}]*[{COMMAS}]|[^{COMMAS}]+")
+    repacked = F.flatten(F.transform(sentences, lambda p: F.when(F.length(p) > most, F.regexp_extract_all(F.regexp_replace(p, f"([{COMMAS}])[{BLANK}]+", "$1"), packs, F.lit(0))).otherwise(F.array(p))))
+    # An array of one gives the pieces a name, so that they are found once and not wherever they are used.
+    return F.flatten(F.transform(F.array(repacked), lambda p: _joined(p, least)))
+
+
+def _joined(p: Column, least: int) -> Column:
+    joins = lambda x, i: (i > 0) & (F.length(x) < least) & ~F.get(p, i - 1).rlike(rf"[{ENDS}…]\z")
+    starts = F.filter(F.transform(p, lambda x, i: F.when(~joins(x, i), i)), lambda i: i.isNotNull())
+    found = F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: F.array_join(F.slice(p, a + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - a), "")))
+    return F.filter(F.transform(F.flatten(found), _strip), lambda x: x != "")
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[\s 　]+|[\s 　]+$", "")
+    return F.regexp_replace(x, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
 
 
 def has_credential(t: Column) -> Column:
@@ -97,14 +108,15 @@ def app_slug(v: Column) -> Column:
 
 def apps(tags: Column) -> Column:
     """All app tags joined by +, else ``legacy``."""
-    own = F.transform(F.filter(tags, lambda x: x.startswith("app:")), lambda x: F.substring(x, 5, 1000))
+    own = F.transform(F.filter(tags, lambda x: x.startswith("app:")), lambda x: x.substr(F.lit(5), F.length(x)))
     return F.when(F.size(own) > 0, F.array_join(own, "+")).otherwise("legacy")
 
 
 def first_tag(tags: Column, prefix: str) -> Column:
     """What follows ``prefix`` in the first such tag, else the empty string."""
     own = F.filter(tags, lambda x: x.startswith(prefix))
-    return F.when(F.size(own) > 0, F.substring(F.element_at(own, 1), len(prefix) + 1, 1000)).otherwise("")
+    first = F.try_element_at(own, F.lit(1))
+    return F.coalesce(first.substr(F.lit(len(prefix) + 1), F.length(first)), F.lit(""))
 
 
 def cut(t: Column, n: int) -> Column:

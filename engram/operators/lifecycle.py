@@ -25,11 +25,21 @@ def organize(entries: DataFrame) -> DataFrame:
     """Rows to retire among active ones: (memory_id, keeper, reason). Older rows of a state key, and exact repeats of a text; the newest stays."""
     live = entries.filter("superseded_by is null")
 
-    def older(df: DataFrame, key: Column, reason: str) -> DataFrame:
-        best = F.max(F.struct("ts", "memory_id")).over(Window.partitionBy("_k"))
-        return df.withColumn("_k", key).filter("_k is not null").withColumn("keeper", best.memory_id).filter("memory_id <> keeper").select("memory_id", "keeper", F.lit(reason).alias("reason"))
+    def older(key: Column, reason: str) -> DataFrame:
+        keyed = live.select("memory_id", "ts", key.alias("_k")).filter("_k is not null")
+        best = keyed.groupBy("_k").agg(F.max(F.struct("ts", "memory_id")).alias("_b"))
+        return keyed.join(best, "_k").filter("memory_id <> _b.memory_id").select("memory_id", F.col("_b.memory_id").alias("keeper"), F.lit(reason).alias("reason"))
 
-    return older(live, T.state_key(F.col("state_key")), "stale_key").unionByName(older(live, T.plain(F.col("text")), "exact_repeat"))
+    return older(T.state_key(F.col("state_key")), "stale_key").unionByName(older(F.sha2(T.plain(F.col("text")), 256), "exact_repeat"))
+
+
+def rotation(live: DataFrame, offset: int, pool: int) -> DataFrame:
+    """(memory_id, ts) of ``pool`` entries, newest first from place ``offset`` on, in a circle: after the oldest comes the newest."""
+    newest = [F.desc("ts"), F.desc("memory_id")]
+    n = live.agg(F.count(F.lit(1)).alias("_n"))
+    top = live.select("memory_id", "ts").orderBy(*newest).limit(offset + pool)  # a place beyond these isn't asked for
+    ranked = top.withColumn("_at", F.row_number().over(Window.orderBy(*newest)) - 1).crossJoin(F.broadcast(n))  # one row
+    return ranked.filter(F.pmod(F.col("_at") - offset, F.col("_n")) < pool).select("memory_id", "ts")
 
 
 def retired_at(df_cols: Column | None = None) -> Column:
@@ -77,8 +87,8 @@ def stamp_app(tags: Column, app: str) -> Column:
 def migrate_keys(entries: DataFrame) -> DataFrame:
     """Keys normalised; of the active rows of a key only the newest stays active."""
     out = entries.withColumn("state_key", T.state_key(F.col("state_key")))
-    best = F.max(F.when(F.col("superseded_by").isNull(), F.struct("ts", "memory_id"))).over(Window.partitionBy("state_key"))
-    out = out.withColumn("_b", F.when(F.col("state_key").isNotNull(), best))
+    active = out.filter("superseded_by is null and state_key is not null")
+    out = out.join(active.groupBy("state_key").agg(F.max(F.struct("ts", "memory_id")).alias("_b")), "state_key", "left").select(*out.columns, "_b")
     stale = F.col("_b").isNotNull() & F.col("superseded_by").isNull() & (F.col("memory_id") != F.col("_b.memory_id"))
     return out.withColumn("valid_to", F.when(stale, F.col("_b.ts")).otherwise(F.col("valid_to"))).withColumn("superseded_by", F.when(stale, F.col("_b.memory_id")).otherwise(F.col("superseded_by"))).drop("_b")
 

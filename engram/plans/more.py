@@ -126,13 +126,6 @@ def kmeans(spark, d):
     return model.transform(v).select("memory_id", F.col("prediction").alias("cluster"))
 
 
-@query("D10_other_text", ", s as (select memory_id, text, left(text, 20) as h from e) select a.memory_id as a, b.memory_id as b from s a join s b on a.h = b.h and a.memory_id < b.memory_id and a.text <> b.text")
-def other_text(spark, d):
-    s = entries(spark, d).select("memory_id", "text", F.left("text", F.lit(20)).alias("h"))
-    o = s.select(F.col("memory_id").alias("b"), F.col("text").alias("t"), "h")
-    return s.join(o, "h").filter("memory_id < b and text <> t").select(F.col("memory_id").alias("a"), "b")
-
-
 @query("D10_similar_other_text", f"select a, b, round(sim, 5) as sim from ({PAIRS}) p join e x on x.memory_id = p.a join e y on y.memory_id = p.b where x.text <> y.text")
 def similar_other_text(spark, d):
     """All similar pairs but those of equal texts, whatever the texts begin with. Texts move once, as digests."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lifecycle
 from ..sources.entries import NOW, entries, table
 from .base import query
 
@@ -30,9 +31,23 @@ def state_key(spark, d):
     return entries(spark, d).select("memory_id", T.state_key(F.col("state_key")).alias("k"))
 
 
-@query("B4_chunks")
+BLANK = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
+
+
+CHUNKS = rf""", s as (select memory_id, list_filter(list_transform(regexp_extract_all(text, '[^{T.ENDS}\n]*[{T.ENDS}\n]|[^{T.ENDS}\n]+'), lambda x: {_strip_sql('x')}), lambda x: x <> '') as ps from e),
+r as (select memory_id, flatten(list_transform(ps, lambda p: case when len(p) > 120 then regexp_extract_all(regexp_replace(p, '([{T.COMMAS}])[{BLANK}]+', '\1', 'g'), '(?s).{{1,120}}\z|.{{0,119}}[{T.COMMAS}]|[^{T.COMMAS}]*[{T.COMMAS}]|[^{T.COMMAS}]+') else [p] end)) as p from s),
+t as (select memory_id, p, list_filter(range(1, len(p) + 1), lambda i: not (i > 1 and len(p[i]) < 10 and not regexp_matches(p[i - 1], '[{T.ENDS}…]$'))) as st from r),
+c as (select memory_id, list_filter(list_transform(range(1, len(st) + 1), lambda k: {_strip_sql("array_to_string(p[st[k]:coalesce(st[k + 1] - 1, len(p))], '')")}), lambda x: x <> '') as cs from t)
+select memory_id, unnest(range(0, len(cs))) as pos, unnest(cs) as chunk from c"""
+
+
+@query("B4_chunks", CHUNKS)
 def chunks(spark, d):
-    return entries(spark, d).select("memory_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
+    return entries(spark, d).select("memory_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("B5_credential", f"select memory_id, ({MARKS}) or ({PATTERNS}) or ({LONG}) as found from e")
@@ -195,7 +210,4 @@ def retired(spark, d):
 
 @query("D11_rotation", ", r as (select memory_id, row_number() over (order by ts desc, memory_id desc) as rn, count(*) over () as n from e where superseded_by is null) select memory_id from r where (rn - 1 - 30 + n) % n < 100")
 def rotation(spark, d):
-    # Newest first with a bounded pool from an offset: ids sort like times here, so a top-n replaces a global rank.
-    live = entries(spark, d).filter("superseded_by is null")
-    top = live.orderBy(F.desc("ts"), F.desc("memory_id")).limit(130).select("memory_id", "ts")
-    return top.orderBy("ts", "memory_id").limit(100).select("memory_id")
+    return lifecycle.rotation(entries(spark, d).filter("superseded_by is null"), offset=30, pool=100).select("memory_id")

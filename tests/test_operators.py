@@ -112,3 +112,14 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as e
 
     assert e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rotation_goes_round_at_any_size(spark):
+    from engram.operators import lifecycle
+
+    for n in (0, 1, 29, 100, 120, 130, 131, 400):
+        live = spark.range(n).selectExpr("id as memory_id", "cast(id as double) as ts")
+        newest = list(range(n))[::-1]
+        want = {newest[(30 + k) % n] for k in range(min(n, 100))}
+        got = [r.memory_id for r in lifecycle.rotation(live, 30, 100).collect()]
+        assert set(got) == want and len(got) == len(want)
