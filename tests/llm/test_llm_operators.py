@@ -571,6 +571,16 @@ def test_near_copies_with_common_boilerplate(spark):
         assert {r.doc_id: r.component_id for r in jaccard_join.join(df, **how).collect()} == plain_components(sets)
 
 
+def test_signatures_never_overstate():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = (np.unique(pool[rng.random(400) < rng.random()]) for _ in range(2))
+        differ = len(np.setxor1d(a, b))
+        assert jaccard_join.apart(jaccard_join.signature(a), jaccard_join.signature(b)) <= differ
+        assert jaccard_join.apart(jaccard_join.signature(a), jaccard_join.signature(a)) == 0
+
+
 def test_prefixes_hold_a_shared_shingle_that_passes_the_filter():
     rng = np.random.default_rng(12)
     for _ in range(3000):
