@@ -33,17 +33,22 @@ def ladder(chunks: list[dict], embed=hash_embedding) -> list[dict]:
     """Fold chunks (text, tokens, source, ts, state_key) into entries with ids from 0; returns one outcome per chunk.
 
     Very similar without new tokens: strengthened. Similar: merged, the old text kept as a superseded
-    tombstone under a new id if the text differs. Else new. A keyed chunk is always new and supersedes older active rows of its key.
+    tombstone under a new id if the text differs. Else new. A keyed chunk is always new and supersedes older active rows of its key;
+    a chunk with ``force_new`` is always new. The novelty is 1 less the highest similarity to a live entry.
     """
     rows: list[dict] = []
     outcomes = []
     for c in chunks:
         e = embed(c["tokens"])
         live = [r for r in rows if r["superseded_by"] is None]
-        best, sim = None, -1.0
-        if live and not c.get("state_key"):
-            sims = np.array([r["embedding"] @ e for r in live])
-            best, sim = live[int(sims.argmax())], float(sims.max())
+        # Without a live entry, or where a write is forced, nothing is looked for: the novelty is 1. A keyed chunk beside live
+        # entries is never like any of them: its novelty is 2.
+        best, sim = None, 0.0
+        if live and not c.get("force_new"):
+            sim = -1.0
+            if not c.get("state_key"):
+                sims = np.array([r["embedding"] @ e for r in live])
+                best, sim = live[int(sims.argmax())], float(sims.max())
         same, near = (0.95, 0.85) if len(c["text"]) < 30 else (0.92, 0.75)
         if best is not None and sim > same and not set(c["tokens"]) - set(best["tokens"]):
             best["access_count"] += 1
@@ -65,7 +70,7 @@ def ladder(chunks: list[dict], embed=hash_embedding) -> list[dict]:
                     r.update(superseded_by=target["memory_id"], valid_to=c["ts"])
             rows.append(target)
             action = "new"
-        outcomes.append({"action": action, "memory_id": target["memory_id"], "novelty": 1 - sim if best is not None else 2.0})
+        outcomes.append({"action": action, "memory_id": target["memory_id"], "novelty": 1 - sim})
     return outcomes
 
 

@@ -42,13 +42,16 @@ def rotation(live: DataFrame, offset: int, pool: int) -> DataFrame:
     return ranked.filter(F.pmod(F.col("_at") - offset, F.col("_n")) < pool).select("memory_id", "ts")
 
 
-def retired_at(df_cols: Column | None = None) -> Column:
-    return F.coalesce("valid_to", "ts")
+def retired_at(entries: DataFrame) -> Column:
+    """When a superseded entry retired: the end of its validity, else its last update (where there is such a column), else its own
+    time. A stamp of 0 counts as none."""
+    stamps = [F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("valid_to", "updated_at") if c in entries.columns]
+    return F.coalesce(*stamps, F.col("ts").cast("double"), F.lit(0.0))
 
 
 def vacuum(entries: DataFrame, now: float, older_than_days: float) -> DataFrame:
     """Entries without superseded rows that retired before the cutoff."""
-    return entries.filter(~(F.col("superseded_by").isNotNull() & (retired_at() < now - older_than_days * DAY)))
+    return entries.filter(~(F.col("superseded_by").isNotNull() & (retired_at(entries) < now - max(0.0, older_than_days) * DAY)))
 
 
 def decay_cleanup(entries: DataFrame, now: float, tau: float, least: float, protect: bool = False) -> DataFrame:

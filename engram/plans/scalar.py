@@ -205,7 +205,8 @@ def scope(spark, d):
 
 @query("D9_retired", f"select memory_id from e where superseded_by is not null and coalesce(valid_to, ts) < {NOW} - 20 * 86400")
 def retired(spark, d):
-    return entries(spark, d).filter(F.col("superseded_by").isNotNull() & (F.coalesce("valid_to", "ts") < NOW - 20 * 86400)).select("memory_id")
+    e = entries(spark, d)
+    return e.filter(F.col("superseded_by").isNotNull() & (lifecycle.retired_at(e) < NOW - 20 * 86400)).select("memory_id")
 
 
 @query("D11_rotation", ", r as (select memory_id, row_number() over (order by ts desc, memory_id desc) as rn, count(*) over () as n from e where superseded_by is null) select memory_id from r where (rn - 1 - 30 + n) % n < 100")

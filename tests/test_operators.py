@@ -123,3 +123,24 @@ def test_rotation_goes_round_at_any_size(spark):
         want = {newest[(30 + k) % n] for k in range(min(n, 100))}
         got = [r.memory_id for r in lifecycle.rotation(live, 30, 100).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_retirement_falls_back_to_the_last_update(spark):
+    from engram.operators import lifecycle
+
+    rows = [(1, 9, 50.0, 900.0, 5.0), (2, 9, None, 900.0, 5.0), (3, 9, 0.0, 40.0, 5.0), (4, 9, None, None, 5.0), (5, None, None, None, 5.0), (6, 9, None, None, None)]
+    e = spark.createDataFrame(rows, "memory_id long, superseded_by long, valid_to double, updated_at double, ts double")
+    assert {r.memory_id for r in lifecycle.vacuum(e, 100.0, 0.0).collect()} == {2, 5}
+    assert {r.memory_id for r in lifecycle.vacuum(e.drop("updated_at"), 100.0, 0.0).collect()} == {5}
+
+
+def test_novelty_of_first_keyed_and_forced_chunks():
+    import numpy as np
+
+    from engram.operators import ingest
+
+    at = {"a": np.array([1.0, 0.0]), "b": np.array([0.6, 0.8])}
+    chunk = lambda t, **more: {"text": t * 40, "tokens": [t], "source": "auto", "ts": 1.0, **more}
+    out = ingest.ladder([chunk("a"), chunk("b", state_key="k"), chunk("a", force_new=True), chunk("a")], embed=lambda tokens: at[tokens[0]])
+    assert [x["action"] for x in out] == ["new", "new", "new", "strengthened"]
+    assert np.allclose([x["novelty"] for x in out], [1.0, 2.0, 1.0, 0.0])
