@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
@@ -35,6 +35,17 @@ def tokens(t: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def hash_code(rows: DataFrame, id_col: str, text_col: str, bits: int = 4096, hashes: int = 3, keep: int = 204) -> DataFrame:
+    """(id, code): bits of the words' hashes, those met most often, ascending; ties at the last place all stay. Only bits that were met
+    count, so a short text has a short code. Texts without a word have no row."""
+    words = rows.select(F.col(id_col), F.explode(F.split(F.lower(text_col), f"[{BLANK}]+")).alias("_w")).filter("_w <> ''")
+    digest = lambda i: F.conv(F.right(F.md5(F.concat("_w", F.lit(f"_{i}"))), F.lit(8)), 16, 10).cast("long")
+    met = words.select(id_col, F.explode(F.array(*[digest(i) % bits for i in range(hashes)])).alias("_b"))
+    counts = met.groupBy(id_col, "_b").agg(F.count(F.lit(1)).alias("_n")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_n", "_b")), False).alias("_c"))
+    least = F.element_at("_c", F.least(F.lit(keep), F.size("_c")))["_n"]
+    return counts.select(id_col, F.array_sort(F.transform(F.filter("_c", lambda x: x["_n"] >= least), lambda x: x["_b"])).alias("code"))
+
+
 def is_junk(t: Column) -> Column:
     """Mostly symbols: under 45 % or fewer than 4 ASCII letters, digits or CJK characters."""
     good = F.length(F.regexp_replace(t, f"[^A-Za-z0-9{CJK}]", ""))

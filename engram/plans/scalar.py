@@ -153,11 +153,10 @@ def squeezed(spark, d):
     return entries(spark, d).select("memory_id", T.squeezed(F.col("text")).alias("q"))
 
 
-@query("B25_hash_bits", f"select memory_id, count(*) as n_bits from (select distinct memory_id, ('0x' || substr(md5(tok || '_' || h), 1, 7))::bigint % 4096 as bit from (select memory_id, unnest({TOKENS}) as tok from e), range(3) r(h)) group by memory_id")
+@query("B25_hash_bits", r", w as (select memory_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+'), lambda x: x <> '')) as word from e), c as (select memory_id, ('0x' || right(md5(word || '_' || h), 3))::bigint as bit, count(*) as n from w, range(3) r(h) group by all), p as (select *, rank() over (partition by memory_id order by n desc) as place from c) select memory_id, count(*) as n_bits, string_agg(bit, ',' order by bit) as bits from p where place <= 204 group by memory_id")
 def hash_bits(spark, d):
-    t = entries(spark, d).select("memory_id", F.explode(T.tokens(F.col("text"))).alias("tok"))
-    t = t.select("memory_id", F.explode(F.array(*[F.conv(F.substring(F.md5(F.concat("tok", F.lit(f"_{h}"))), 1, 7), 16, 10).cast("long") % 4096 for h in range(3)])).alias("bit"))
-    return t.distinct().groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_bits"))
+    code = T.hash_code(entries(spark, d), "memory_id", "text")
+    return code.select("memory_id", F.size("code").cast("long").alias("n_bits"), F.array_join("code", ",").alias("bits"))
 
 
 @query("B26_pair_text", "select a.conv_id, a.turn, md5(a.text || ' ||| ' || b.text) as pair from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 and a.role = 'user'", entries=False)

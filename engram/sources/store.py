@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,19 +32,43 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 class Library:
-    """Snapshots under ``path``; the pointer names the current one. A writer whose base is no longer current gets a conflict snapshot."""
+    """Snapshots under ``path``; the newest numbered pointer names the current one. A writer whose base is no longer current, or
+    who comes second with the next pointer, gets a conflict snapshot. Pointers are renamed into place and never rewritten."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        p = self._hadoop.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self._conf), p
+
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and version of the newest pointer; (0, None) if there is none."""
+        fs, folder = self._at("pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        number = max((int(n) for n in names if n.isdigit()), default=0)
+        return number, self.spark.read.text(f"{folder}/{number:010d}").first()[0] if number else None
+
+    def _publish(self, number: int, version: str) -> bool:
+        """Whether ``version`` became the current one, as pointer ``number``; not if another writer has placed that pointer."""
+        fs, made = self._at(f"pointers/.{version}")
+        out = fs.create(made, False)
+        out.write(bytearray(version.encode()))
+        out.close()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+        try:
+            self._hadoop.FileContext.getFileContext(made.toUri(), self._conf).rename(made, self._at(f"pointers/{number:010d}")[1], plain)
+        except Py4JJavaError as e:
+            if not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            fs.delete(made, False)
+            return False
+        return True
 
     def current(self) -> str | None:
-        fs, p = self._pointer()
-        return self.spark.read.text(str(p)).first()[0] if fs.exists(p) else None
+        return self._newest()[1]
 
     def load(self, version: str | None = None) -> DataFrame:
         version = version or self.current()
@@ -53,14 +78,16 @@ class Library:
 
     def save(self, entries: DataFrame, base: str | None = None) -> tuple[str, bool]:
         """(version, is current). ``base``: the version the entries came from."""
-        fresh = base == self.current()
-        version = ("v-" if fresh else "conflict-") + uuid.uuid4().hex
+        number, now = self._newest()
+        name = uuid.uuid4().hex
+        fresh = base == now
+        version = ("v-" if fresh else "conflict-") + name
         conform(entries).write.parquet(f"{self.path}/{version}")
-        if fresh:
-            fs, p = self._pointer()
-            out = fs.create(p, True)
-            out.write(bytearray(version.encode()))
-            out.close()
+        if fresh and not self._publish(number + 1, version):
+            fs, written = self._at(version)
+            fresh, version = False, f"conflict-{name}"
+            if not fs.rename(written, self._at(version)[1]):
+                raise OSError(f"{written} could not be renamed")
         return version, fresh
 
 

@@ -89,6 +89,12 @@ def test_library_conflict(spark, tmp_path):
     assert fresh and lib.current() == second
     other, fresh = lib.save(e, base=first)
     assert not fresh and lib.current() == second and other.startswith("conflict-")
+    # Two writers from the same base: the second one finds the pointer placed.
+    assert not lib._publish(2, other) and lib.current() == second
+    lib._newest = lambda: (1, first)
+    late, fresh = lib.save(e, base=first)
+    assert not fresh and late.startswith("conflict-") and lib.load(late).count() == 1
+    assert store.Library(spark, lib.path).current() == second
 
 
 def test_markdown(spark, tmp_path):
