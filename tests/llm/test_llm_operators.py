@@ -625,3 +625,14 @@ def test_pipeline_brute_force(spark):
             want.add(i)
     assert set(clean) == want
     assert {r.doc_id for r in c.run(spark, DATA).select("doc_id").distinct().collect()} == set(clean)
+
+
+def test_rows_that_may_be_among_few(spark):
+    from engram.llm import jaccard_join as J
+
+    rows = spark.createDataFrame([(h, str(h)) for h in (-(1 << 63), -1, 0, 63, 64, 1 << 40, None)] * 2, "th long, text string")
+    few = spark.createDataFrame([(h,) for h in (-1, 64, 64, -(1 << 63), None)], "_th long")
+    got = sorted(r.th for r in J._may_be_among(rows, few, "th", "_th").collect())
+    # 0 and 2 ** 40 share a cell with -(2 ** 63): what isn't told apart stays, what is asked for is never lost.
+    assert got == sorted([-(1 << 63), -1, 0, 64, 1 << 40] * 2)
+    assert J._may_be_among(rows, few.limit(0), "th", "_th").count() == 0
