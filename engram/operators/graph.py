@@ -124,6 +124,25 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, piv
     return both.withColumn("r", rank).filter(F.col("r") <= k).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim").dropDuplicates(["a", "b"])
 
 
+def later_neighbours(pairs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(a, b, sim, rank, ts): of ``pairs`` (a < b) each row's ``k`` nearest among those that follow it when entries go from newest to oldest
+    (ties by id); a is the newer one, ts its time. Pairs of ids without an entry fall away."""
+    x, y = (entries.select(F.col("memory_id").alias(i), F.col("ts").alias(t)) for i, t in (("a", "_s"), ("b", "_t")))
+    met = pairs.join(x, "a").join(y, "b").withColumn("_turned", F.col("_t") > F.col("_s"))
+    first, second = (F.when(F.col("_turned"), F.col(p)).otherwise(F.col(q)) for p, q in (("b", "a"), ("a", "b")))
+    met = met.select(first.alias("a"), second.alias("b"), "sim", F.greatest("_s", "_t").alias("ts"), F.least("_s", "_t").alias("_o"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.desc("_o"), "b"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_o")
+
+
+def conflicts(pairs: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:
+    """``later_neighbours`` whose texts differ; an empty and a missing text are equal. Texts move as digests."""
+    s = entries.select("memory_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_x"))
+    near = later_neighbours(pairs, entries, k)
+    near = near.join(s.select(F.col("memory_id").alias("a"), "_x"), "a").join(s.select(F.col("memory_id").alias("b"), F.col("_x").alias("_y")), "b")
+    return near.filter("_x <> _y").drop("_x", "_y")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 

@@ -15,7 +15,7 @@ from ..sources import store
 from ..sources.entries import NOW, entries, query_vectors, table, vectors
 from .base import query
 from .memory import ASKED, DW, HYBRID, TAU, asked, eviction, hybrid
-from .vectors import BEST, CODE, COMPONENTS, COS, PAIRS, near_codes
+from .vectors import BEST, CODE, COMPONENTS, CONFLICTS, COS, PAIRS, live_pairs, near_codes
 
 # Sources and sinks.
 
@@ -269,13 +269,11 @@ def lookup(spark, d):
     return entries(spark, d).filter((T.state_key(F.col("state_key")) == "user.k7") & F.col("superseded_by").isNull()).agg(F.min("memory_id").alias("memory_id"), F.min_by("state_value", "memory_id").alias("state_value"))
 
 
-@query("L11_conflicts", f"select a, b, round(sim, 5) as sim from ({PAIRS}) p join e x on x.memory_id = p.a join e y on y.memory_id = p.b where x.superseded_by is null and y.superseded_by is null and x.text <> y.text")
+@query("L11_conflicts", CONFLICTS + " select a, b, round(sim, 5) as sim from cp order by ts desc, a, rank limit 50")
 def conflicts(spark, d):
-    e = entries(spark, d).filter("superseded_by is null")
-    v = vectors(spark, d).join(e.select("memory_id"), "memory_id", "left_semi")
-    p = graph.similar_pairs(v, 0.38)
-    x, y = e.select(F.col("memory_id").alias("a"), F.col("text").alias("s")), e.select(F.col("memory_id").alias("b"), F.col("text").alias("t"))
-    return p.join(x, "a").join(y, "b").filter("s <> t").select("a", "b", F.round("sim", 5).alias("sim"))
+    """The first 50 conflicts of active entries, newest first."""
+    live, _, pairs = live_pairs(spark, d)
+    return graph.conflicts(pairs, live).orderBy(F.desc("ts"), "a", "rank").limit(50).select("a", "b", F.round("sim", 5).alias("sim"))
 
 
 @query("L13_wiki", ", live as (select * from e where superseded_by is null), st as (select 'state' as part, memory_id from live where state_key is not null), tp as (select lang, count(*) as n from live group by lang order by n desc, lang limit 6), g as (select 'topic' as part, memory_id from (select memory_id, row_number() over (partition by lang order by access_count desc, ts desc, memory_id) as r from live where lang in (select lang from tp)) where r <= 6), u as (select 'used' as part, memory_id from live order by access_count desc, ts desc, memory_id limit 6) select * from st union all select * from g union all select * from u")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import graph, recall
-from ..sources.entries import query_vectors, table, vectors
+from ..sources.entries import entries, query_vectors, table, vectors
 from .base import query
 
 COS = "(list_dot_product(a.embedding::double[], b.embedding::double[]) / ((sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) + 1e-8) * (sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-8)))"
@@ -73,9 +73,21 @@ def overlap_code(spark, d):
 PAIRS = f"select a.vec_id as a, b.vec_id as b, {COS} as sim from embeddings a join embeddings b on a.vec_id < b.vec_id where {COS} >= 0.38"
 
 
-@query("E4_near_pairs", f"select a, b, round(sim, 5) as sim from ({PAIRS})", entries=False)
+LATER = f", v as (select memory_id, text, ts, embedding from e join embeddings on vec_id = memory_id where superseded_by is null), lp as (select a.memory_id as a, b.memory_id as b, a.text as s, b.text as t, a.ts, {COS} as sim, row_number() over (partition by a.memory_id order by round({COS}, 9) desc, b.ts desc, b.memory_id) as rank from v a join v b on b.ts < a.ts or (b.ts = a.ts and b.memory_id > a.memory_id) where {COS} >= 0.38)"
+CONFLICTS = LATER + ", cp as (select * from lp where rank <= 5 and coalesce(s, '') <> coalesce(t, ''))"
+
+
+def live_pairs(spark, d):
+    """Active entries, their vectors and the similar pairs among them."""
+    live = entries(spark, d).filter("superseded_by is null")
+    v = vectors(spark, d).join(live.select("memory_id"), "memory_id", "left_semi")
+    return live, v, graph.similar_pairs(v, 0.38)
+
+
+@query("E4_near_pairs", CONFLICTS + " select a, b, round(sim, 5) as sim, rank::integer as rank from cp")
 def near_pairs(spark, d):
-    return graph.similar_pairs(vectors(spark, d), 0.38).select("a", "b", F.round("sim", 5).alias("sim"))
+    live, _, pairs = live_pairs(spark, d)
+    return graph.conflicts(pairs, live).select("a", "b", F.round("sim", 5).alias("sim"), "rank")
 
 
 @query("E5_nearest", f"select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by sim desc, memory_id) as r from ({BEST}) where query_id <> memory_id) where r = 1", entries=False)
@@ -100,12 +112,12 @@ def clusters(spark, d):
     return graph.clusters(v, 0.38)
 
 
-@query("K2_find_clusters")
+@query("K2_find_clusters", LATER + ", ed as (select a, b from lp where rank <= 8 union all select b, a from lp where rank <= 8), reach as (select memory_id, memory_id as other from v union select reach.memory_id, ed.b from reach join ed on reach.other = ed.a), c as (select memory_id, min(other) as cluster from reach group by memory_id) select cluster, count(*) as size, max(ts) as newest from c join v using (memory_id) group by cluster having count(*) >= 2")
 def find_clusters(spark, d):
-    """Components of each row's eight best neighbours at a floor, two members or more, by size."""
-    v = vectors(spark, d)
-    c = graph.components(v, graph.similar_pairs(v, 0.38, k=8))
-    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size >= 2").orderBy(F.desc("size"), "cluster")
+    """Components of active entries' eight nearest later ones at a floor, two members or more."""
+    live, v, pairs = live_pairs(spark, d)
+    c = graph.components(v, graph.later_neighbours(pairs, live, 8)).join(live.select("memory_id", "ts"), "memory_id")
+    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.max("ts").alias("newest")).filter("size >= 2")
 
 
 @query("K6_percolation", f"{COMPONENTS}, s as (select cluster, count(*) as n from c group by cluster) select count(*) as clusters, max(n) as largest, round(max(n) / sum(n), 6)::double as share from s", entries=False)
