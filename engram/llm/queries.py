@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, pii, quality, substring_dedup, token_counts
+from . import chat_format, decontaminate, embedding_whitening, exact_dedup, jaccard_join, language_id, merkle_manifest, packing, pii, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_token_counts": token_counts.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op12_merkle_manifest": merkle_manifest.query,
+    "op13_embedding_whitening": embedding_whitening.query,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
 }
