@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_whitening, exact_dedup, jaccard_join, language_id, merkle_manifest, packing, pii, quality, substring_dedup, token_counts
+from . import chat_format, decontaminate, embedding_whitening, exact_dedup, jaccard_join, language_id, merkle_manifest, packing, pii, quality, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_token_counts": token_counts.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_suffix_dedup": suffix_dedup.query,
     "op12_merkle_manifest": merkle_manifest.query,
     "op13_embedding_whitening": embedding_whitening.query,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_suffix_dedup": suffix_dedup.ORACLE,
     "op12_merkle_manifest": merkle_manifest.ORACLE,
 }
