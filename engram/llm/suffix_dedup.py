@@ -7,7 +7,7 @@ that its repeats depend on. Suffixes don't travel one by one: those whose next 1
 1. ``repeated``: 40-byte strings at anchors that occur once can't be in a repeated string; their suffixes go. A batch's own
    repeats are known at once and don't meet in one place, so a frequent string arrives as one row for each batch.
 2. ``stretches``: the text of the suffixes that are left. Equal stretches in one document are removed there, but for the first.
-3. ``sort_bucket``: sampled splitters range-partition the stretches by their leading tokens (the bytes from the anchor on), then by document and place,
+3. ``sort_bucket``: sampled splitters range-partition the stretches by their leading tokens (16 bytes from the anchor on), then by document and place,
    so a frequent string is split over as many buckets as it fills. Each bucket is sorted by a multikey quicksort, 8 bytes a step: every
    part that is still undecided is divided by its next 8 bytes, parts of one are done. Stretches first, then the suffixes of those that differ.
 4. ``across``: a leading string may go on in the next bucket only if it is a bucket's first or last; the suffixes below it that no other
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import _bytes_of, cut, parts, table, tidy, utf8
 
 SPAN, CORE = 100, 40
+#: Bytes of an anchor's string by which stretches are dealt out.
+LEAD = 16
 #: Suffixes' stretches in a bucket, about 130 bytes each.
 BUCKET = 64_000
 _STEP = 60_000
@@ -184,8 +186,8 @@ def repeated(docs: DataFrame, span: int, core: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, wanted: DataFrame, span: int, core: int) -> DataFrame:
-    """(lead, key, start, n, anchor, bytes) of the suffixes at wanted anchors; lead null: (key, start, n) is a stretch that the same document
-    has before. ``wanted``: (key, hash)."""
+    """(lead, key, spot, bytes) of the suffixes at wanted anchors, spot being start x 2^31 + anchor's distance; lead null: spot is start x 2^31 +
+    length of a run of bytes that the same document has before. ``wanted``: (key, hash)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,15 +216,13 @@ def stretches(docs: DataFrame, wanted: DataFrame, span: int, core: int) -> DataF
                     again[i] = what in seen
                     seen.add(what)
                 key, local = part.column("key").to_numpy()[doc], first - at[doc]
-                lead = [None if x else raw[a : a + core] for a, x in zip(anchor.tolist(), again.tolist(), strict=True)]
+                lead = [None if x else raw[a : a + min(LEAD, core)] for a, x in zip(anchor.tolist(), again.tolist(), strict=True)]
                 text = [None if x else raw[s : s + m + span - 1] for s, m, x in zip(first.tolist(), n.tolist(), again.tolist(), strict=True)]
-                yield _batch(
-                    lead=pa.array(lead, pa.binary()), key=key, start=pa.array(local, pa.int32()), n=pa.array(n, pa.int32()),
-                    anchor=pa.array(anchor - first, pa.int32()), bytes=pa.array(text, pa.binary()),
-                )
+                spot = (local << 31) + np.where(again, n + span - 1, anchor - first)
+                yield _batch(lead=pa.array(lead, pa.binary()), key=key, spot=spot, bytes=pa.array(text, pa.binary()))
 
     asked = wanted.groupBy("key").agg(F.collect_list("hash").alias("hashes"))
-    return docs.join(asked, "key").select("key", "text", "hashes").mapInArrow(run, "lead binary, key long, start int, n int, anchor int, bytes binary")
+    return docs.join(asked, "key").select("key", "text", "hashes").mapInArrow(run, "lead binary, key long, spot long, bytes binary")
 
 
 def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
@@ -236,18 +236,19 @@ def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
             known = b.column(0).is_null()
             if known.true_count:
                 own = b.filter(known)
-                start = own.column(2).to_numpy().astype(np.int64)
-                yield _runs(own.column(1).to_numpy(), start, start + own.column(3).to_numpy() + span - 1)
+                spot = own.column(2).to_numpy()
+                yield _runs(own.column(1).to_numpy(), spot >> 31, (spot >> 31) + (spot & 0x7FFFFFFF))
             if known.false_count:
                 got.append(b.filter(b.column(0).is_valid()))
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
         got.clear()
-        lead, key = t.column(0), t.column(1).to_numpy()
-        start, n, anchor = (t.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
-        data, at = _bytes_of(t.column(5))
+        lead, key, spot = t.column(0), t.column(1).to_numpy(), t.column(2).to_numpy()
+        start, anchor = spot >> 31, spot & 0x7FFFFFFF
+        data, at = _bytes_of(t.column(3))
         place, size = at[:-1], np.diff(at)
+        n = size - (span - 1)
         eight = _unaligned(data, ">u8")
         # Stretches that are equal in all: the one that starts first stands for them.
         shape = size * (1 << 20) + anchor
@@ -258,23 +259,26 @@ def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
         rest = np.flatnonzero(keep)
         del keep, shape
         leads = lead.take(pa.array(rest)).dictionary_encode()
-        code = leads.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ordered = [x.as_py() for x in leads.dictionary]
-        edges = {min(ordered), max(ordered)}
-        outer = np.array([x in edges for x in ordered])
-        count = np.bincount(code, minlength=len(ordered))
-        rest, code = rest[(count[code] > 1) | outer[code]], code[(count[code] > 1) | outer[code]]
+        names = leads.dictionary.to_pylist()
+        edges = {min(names), max(names)}
+        outer = np.array([x in edges for x in names])[leads.indices.to_numpy(zero_copy_only=False)]
+        # Those whose anchor's string is that of another stretch, or may be in another bucket.
+        index, group = equal_runs(eight, place[rest] + anchor[rest], core, np.zeros(len(rest), np.int64))
+        code = np.where(outer, len(rest) + 1 + np.arange(len(rest)), 0)
+        code[index] = group
+        keep = np.flatnonzero(code)
+        rest, code, outer = rest[keep], code[keep], outer[keep]
         order = np.argsort(code, kind="stable")
-        rest, code = rest[order], code[order]
+        rest, code, outer = rest[order], code[order], outer[order]
         # The suffixes of the others, those of some leading strings at a time.
         total, low = np.cumsum(n[rest]), 0
         while low < len(rest):
             high = int(np.searchsorted(total, (total[low - 1] if low else 0) + 1_000_000, "right"))
             high = int(np.searchsorted(code, code[max(high - 1, low)], "right"))
-            some, some_code, low = rest[low:high], code[low:high], high
+            some, some_code, some_outer, low = rest[low:high], code[low:high], outer[low:high], high
             row = np.repeat(np.arange(len(some)), n[some])
             step = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-            row, lead_no = some[row], np.repeat(some_code, n[some])
+            row, lead_no, apart = some[row], some_code[row], some_outer[row]
             at_row, ahead = place[row] + step, anchor[row] - step
             index, group = equal_runs(eight, at_row, span, lead_no * (1 << 20) + ahead)
             late = _later(index, group, key[row], start[row] + step)
@@ -286,7 +290,7 @@ def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
                 new = np.append(True, (row[late][1:] != row[late][:-1]) | (np.diff(late) != 1))
                 head, tail = late[new], late[np.append(np.flatnonzero(new)[1:] - 1, len(late) - 1)]
                 yield _runs(key[row[head]], start[row[head]] + step[head], start[row[tail]] + step[tail] + span)
-            told = np.flatnonzero(first & outer[lead_no])
+            told = np.flatnonzero(first & apart)
             for i in range(0, len(told), 20_000):
                 x = told[i : i + 20_000]
                 chars = data[at_row[x][:, None] + np.arange(span)]
@@ -313,7 +317,7 @@ def removable(docs: DataFrame, span: int = SPAN, core: int = CORE, bucket: int =
     wanted = cut(repeated(docs, span, core))
     rows = stretches(docs, wanted, span, core)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // bucket))
-    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, "lead", "key", "start"), span, core))
+    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, "lead", "key", "spot"), span, core))
     runs = sorted_.filter("suffix is null").select("key", "start", "stop")
     return runs.unionByName(across(sorted_.filter("suffix is not null"), span))
 
