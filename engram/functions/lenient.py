@@ -79,3 +79,11 @@ def embed(tokens: pd.Series) -> pd.Series:
     from ..operators.ingest import hash_embedding
 
     return tokens.map(lambda t: hash_embedding(list(t)).astype(np.float32))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def embed_double(tokens: pd.Series) -> pd.Series:
+    """The same in double precision."""
+    from ..operators.ingest import hash_embedding
+
+    return tokens.map(lambda t: hash_embedding(list(t)))

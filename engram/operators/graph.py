@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,20 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read again; a folder of our own only where none is set (tests).
 
-    Written as Parquet: a checkpointed DataFrame keeps the size its plan was estimated at, and over many rounds of joins
-    that estimate, a product, grows so long that multiplying it takes seconds.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or (tempfile.mkdtemp() if sc.master.startswith("local[") else df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
-    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+#: Iterations are cut to tables in the shared folder.
+checkpointed = written
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, extra, memory, more, scalar, vectors  # noqa: F401  registering
+from .plans import base, captures, extra, memory, more, scalar, streams, vectors  # noqa: F401  registering
 
 FLAGSHIP = "L1_recall"
 QUERIES = base.QUERIES
