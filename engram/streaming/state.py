@@ -7,7 +7,8 @@ each key; by default it grows with the number of keys and nothing is dropped. Op
 * ``late``: a watermark on event time; rows older than it are refused.
 * ``idle``: a key without a write for so long, in event time, is closed and its state removed, by a timer when the watermark passes
   or at the next write, whichever comes first, so that the outcome doesn't depend on how the stream was cut into batches.
-* ``ttl``: the state is forgotten so long after its last write, in processing time, by the state store itself; nothing is emitted.
+* ``ttl``: the state is forgotten so long after its last write, in processing time, by the state store itself; nothing is emitted. Such a stream
+  never runs out of batches: it goes on until stopped, or takes one batch (``drained(one_batch=True)``).
 
 A batch's writes of one key are put in the order of arrival in one task; the batch, not the key's history, bounds them, and the
 source's ``maxBytesPerTrigger`` bounds the batch.
@@ -105,12 +106,13 @@ def rocks(spark: SparkSession):
         spark.conf.set(name, was)
 
 
-def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """All that a stream has now, written exactly once into ``folder``, from where a later call with the same folder goes on."""
+def drained(stream: DataFrame, folder: str | None = None, *, one_batch: bool = False) -> DataFrame:
+    """All that a stream has now, written exactly once into ``folder``, from where a later call with the same folder goes on. ``one_batch``: in a single
+    batch; state with a time to live needs it, as in processing time there is always a further batch to wait for."""
     spark = stream.sparkSession
     folder = folder or new_folder(spark)
     with rocks(spark):
-        run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(**({"once": True} if one_batch else {"availableNow": True})).start()
         run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
