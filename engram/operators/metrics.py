@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,27 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per query: share of ``a``'s rows that are among ``b``'s."""
     hit = a.join(b.select("query_id", "memory_id").distinct().withColumn("_b", F.lit(1)), ["query_id", "memory_id"], "left")
     return hit.groupBy("query_id").agg((F.count("_b") / F.count(F.lit(1))).alias("fidelity"))
+
+
+def binomial_p(b: Column, c: Column) -> Column:
+    """Exact two-sided p of ``b`` against ``c`` discordant pairs under equal odds: twice the binomial tail up to the lesser, 1 at most, and 1 without pairs.
+
+    In log space: the tail relative to its largest term, a fold of ratios, times that term, a fold of logarithms. Terms too small for a double don't count.
+    """
+    n, k = b + c, F.least(b, c)
+    up = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    largest = F.aggregate(up, F.lit(0.0), lambda s, j: s + F.log((n - k + j) / j))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] * i / (n - i + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    tail = F.aggregate(F.reverse(up), start, step, lambda a: a["sum"])
+    return F.when(b.isNull() | c.isNull(), F.lit(None)).otherwise(F.least(F.lit(1.0), 2 * F.exp(largest + F.log(tail) - n * float(math.log(2)))))
+
+
+def paired(outcomes: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: how often booleans ``a`` and ``b`` were both, only the one, only the other, or neither true, and the exact p of the unequal ones."""
+    counts = outcomes.agg(*(F.count_if(x & y).alias(n) for n, x, y in (("both_true", F.col(a), F.col(b)), ("only_a", F.col(a), ~F.col(b)), ("only_b", ~F.col(a), F.col(b)), ("none_true", ~F.col(a), ~F.col(b)))))
+    return counts.withColumn("p", binomial_p(F.col("only_a"), F.col("only_b")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, captures, extra, memory, more, scalar, streams, vectors, writing  # noqa: F401  registering
+from .plans import base, captures, discrete, extra, memory, more, scalar, streams, vectors, writing  # noqa: F401  registering
 
 FLAGSHIP = "L1_recall"
 QUERIES = base.QUERIES
