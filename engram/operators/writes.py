@@ -11,6 +11,7 @@ Missing columns count as null; null texts as empty.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -65,6 +66,94 @@ class Scope:
                 if r["state_key"]:
                     self.keyed.setdefault(r["state_key"], []).append(i)
 
+    def place(self, memory_id: int | None) -> int | None:
+        """The place of the row of an id; places ascend with ids."""
+        if memory_id is None:
+            return None
+        i = bisect.bisect_left(self.rows, memory_id, key=lambda r: r["memory_id"])
+        return i if i < len(self.rows) and self.rows[i]["memory_id"] == memory_id and not self.rows[i].get("gone") else None
+
+    def _retire(self, i: int) -> None:
+        self.live[i] = False
+        key = self.rows[i]["state_key"]
+        if key and i in self.keyed.get(key, []):
+            self.keyed[key].remove(i)
+
+    def supersede(self, old: int | None, new: int | None, ts: float) -> str:
+        """Mark the old row's successor: ``ok``, or why not (the first that holds: same, unknown, cycle, new_superseded)."""
+        a, b = self.place(old), self.place(new)
+        if old == new:
+            return "same"
+        if a is None or b is None:
+            return "unknown"
+        at, seen = new, set()
+        while at is not None and at not in seen:
+            if at == old:
+                return "cycle"
+            seen.add(at)
+            i = self.place(at)
+            at = None if i is None else self.rows[i]["superseded_by"]
+        if self.rows[b]["superseded_by"] is not None:
+            return "new_superseded"
+        self.rows[a].update(superseded_by=new, valid_to=ts)
+        self._retire(a)
+        return "ok"
+
+    def consolidate(self, ids: list[int], chunks: list[dict]) -> tuple[str, list[int]]:
+        """Forced rows for the chunks of a conclusion, each with the sorted evidence ids."""
+        distinct = sorted({i for i in ids if i is not None})
+        if len(distinct) < 2:
+            return "too_few", []
+        if any(self.place(i) is None for i in distinct):
+            return "unknown", []
+        if chunks[0]["refused"]:
+            return chunks[0]["refused"], []
+        made = [o["memory_id"] for o in self.write([c | {"force_new": True} for c in chunks])]
+        for i in made:
+            self.rows[self.place(i)]["evidence_ids"] = distinct
+        return "ok", made
+
+    def forget(self, memory_id: int | None) -> str:
+        """Delete a row; it is no longer anybody's evidence."""
+        i = self.place(memory_id)
+        if i is None:
+            return "unknown"
+        self._retire(i)
+        self.rows[i]["gone"] = True
+        for r in self.rows:
+            if memory_id in (r.get("evidence_ids") or []):
+                r["evidence_ids"] = [x for x in r["evidence_ids"] if x != memory_id]
+        return "ok"
+
+    def replay(self, steps: list[list[dict]]) -> Iterator[dict]:
+        """One outcome (ok, reason, memory_ids) for each operation, a list of chunks; runs of remembered texts are written in one go."""
+        i = 0
+        while i < len(steps):
+            c, op = steps[i][0], steps[i][0]["op"]
+            if op == "remember":
+                j = i
+                while j < len(steps) and steps[j][0]["op"] == "remember":
+                    j += 1
+                done = self.write([x for step in steps[i:j] for x in step if not x["refused"]])
+                for step in steps[i:j]:
+                    ids = [next(done)["memory_id"] for x in step if not x["refused"]]
+                    yield {"ok": bool(ids), "reason": step[0]["refused"] or "ok", "memory_ids": ids}
+                for _ in done:  # to the end: what the last block has changed is kept
+                    pass
+                i = j
+                continue
+            made: list[int] = []
+            if op == "supersede":
+                reason = self.supersede(c["old_id"], c["new_id"], c["ts"])
+            elif op == "consolidate":
+                reason, made = self.consolidate(c["memory_ids"] or [], steps[i])
+            elif op == "forget":
+                reason = self.forget(c["memory_id"])
+            else:
+                reason = "unknown_operation"
+            yield {"ok": reason == "ok", "reason": reason, "memory_ids": made}
+            i += 1
+
     def _add(self, row: dict, live: bool) -> int:
         i = len(self.rows)
         if i == len(self.matrix):
@@ -98,7 +187,7 @@ class Scope:
                     action = "merged"
                     if c["text"] != row["text"]:
                         since = row["valid_from"] or row["ts"]
-                        self._add(row | {"access_count": 0, "superseded_by": row["memory_id"], "valid_from": since, "valid_to": c["ts"], "state_value": None}, False)
+                        self._add(row | {"access_count": 0, "superseded_by": row["memory_id"], "valid_from": since, "valid_to": c["ts"], "state_value": None, "updated_at": None, "evidence_ids": []}, False)
                         row.update(text=c["text"], tokens=c["tokens"], updated_at=c["ts"])
                         changed = best
                     if RANK.get(c["source"], 0) >= RANK.get(row["source"], 0):
@@ -152,7 +241,8 @@ class Scope:
 
 def chunked(requests: DataFrame) -> DataFrame:
     """Requests as chunks with pos, chunk, tokens and n (chunks of the request), and with ``refused``: credential, keyed_chunks or empty (pos 0, no chunk)."""
-    rows = requests.select(*((F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in REQUEST.items()))
+    more = [c for c in requests.columns if c not in REQUEST]
+    rows = requests.select(*((F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in REQUEST.items()), *more)
     rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("state_key", T.state_key(F.col("state_key")))
     rows = rows.withColumn("chunks", F.when(T.has_credential(F.col("text")), F.lit(None)).otherwise(F.filter(T.chunks(F.col("text")), lambda c: ~T.is_junk(c))))
     n = F.size("chunks")
@@ -162,25 +252,35 @@ def chunked(requests: DataFrame) -> DataFrame:
     return kept.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("chunk", F.lit(""))))).drop("chunks")
 
 
+_LISTS = ("tags", "tokens", "evidence_ids", "memory_ids")
+
+
+def _plain(x):
+    return None if x is None or (isinstance(x, float) and np.isnan(x)) or x is pd.NaT or x is pd.NA else x
+
+
+def _records(pdf: pd.DataFrame) -> list[dict]:
+    return [{k: (None if v is None else list(v)) if k in _LISTS else _plain(v) for k, v in r.items()} for r in pdf.to_dict("records")]
+
+
+def _rows(pdf: pd.DataFrame) -> list[dict]:
+    """Entries of a scope, in the order of their ids."""
+    return [r | {"superseded_by": None if r["superseded_by"] is None else int(r["superseded_by"]), "access_count": int(r["access_count"] or 0), "tags": r["tags"] or [], "tokens": r["tokens"] or []} for r in _records(pdf)]
+
+
+def _asked(pdf: pd.DataFrame) -> list[dict]:
+    """Chunks of a scope, in order."""
+    return [c | {"text": c["chunk"], "tokens": c["tokens"] or [], "force_new": bool(c["force_new"])} for c in _records(pdf.sort_values(["seq", "pos"]))]
+
+
 def remember(requests: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """The fold over requests, written once: one row for each chunk or refused request (seq and action set), one for each entry of the library
     after it (seq null). ``library``: entries (scope, memory_id, …) that are there before."""
     parts = chunked(requests)
 
-    def value(x):
-        return None if x is None or (isinstance(x, float) and np.isnan(x)) or x is pd.NaT or x is pd.NA else x
-
     def fold(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        embed = Embedder()
-        have = [{k: value(v) if k not in ("tags", "tokens") else list(v if v is not None else []) for k, v in r.items()} for r in there.sort_values("memory_id").to_dict("records")]
-        for r in have:
-            r["superseded_by"] = None if r["superseded_by"] is None else int(r["superseded_by"])
-            r["access_count"] = int(r["access_count"] or 0)
-        scope = Scope(have, embed)
-        asked = asked.sort_values(["seq", "pos"])
-        chunks = [{k: value(v) if k not in ("tags", "tokens") else v for k, v in r.items()} for r in asked.to_dict("records")]
-        for c in chunks:
-            c["text"], c["tokens"], c["force_new"] = c["chunk"], list(c["tokens"]), bool(c["force_new"])
+        scope = Scope(_rows(there.sort_values("memory_id")), Embedder())
+        chunks = _asked(asked)
         out = [{"seq": c["seq"], "pos": c["pos"]} | o for c, o in zip(chunks, scope.write(chunks), strict=True)]
         out += [{"memory_id": r["memory_id"]} | {k: r[k] for k in _FIELDS} for r in scope.rows]
         name = (asked if len(asked) else there)["scope"].iloc[0]
@@ -222,3 +322,39 @@ def requests_done(done: DataFrame) -> DataFrame:
     )
     action = F.when(F.size("_kinds") == 0, "rejected").when(F.size("_kinds") == 1, F.col("_kinds")[0]).otherwise("mixed")
     return per.select("scope", "seq", action.alias("action"), "reason", *kinds, "memory_ids", "novelty")
+
+
+LOG = {"op": "string", "old_id": "long", "new_id": "long", "memory_ids": "array<long>", "memory_id": "long"}
+
+
+def replay(log: DataFrame, library: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A mixed log, replayed scope by scope in the order of seq: remember (text), supersede (old_id, new_id), consolidate (memory_ids, text), forget
+    (memory_id), with the other columns of a request. Returns (scope, seq, op, ok, reason, memory_ids) and the library after it, with evidence_ids.
+
+    What can't be done is a row with its reason and changes nothing. Ids are those of the scope: the library's, then on from its largest; a forgotten
+    id isn't given again. ``library``: entries (scope, memory_id, …), with or without evidence_ids.
+    """
+    rows = log.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in LOG.items() if c not in log.columns))
+    parts = chunked(rows.withColumn("state_key", F.lit(None).cast("string")).withColumn("source", F.coalesce("source", F.lit("model")) if "source" in rows.columns else F.lit("model")))
+
+    def fold(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        scope = Scope(_rows(there.sort_values("memory_id")), Embedder())
+        steps: dict[int, list[dict]] = {}
+        for c in _asked(asked):
+            steps.setdefault(c["seq"], []).append({k: int(v) if k in ("old_id", "new_id", "memory_id") and v is not None else v for k, v in c.items()})
+        name = (asked if len(asked) else there)["scope"].iloc[0]
+        out = [{"seq": k, "op": step[0]["op"]} | o for (k, step), o in zip(steps.items(), scope.replay(list(steps.values())), strict=True)]
+        out += [{"memory_id": r["memory_id"], "evidence_ids": r.get("evidence_ids") or []} | {k: r[k] for k in _FIELDS} for r in scope.rows if not r.get("gone")]
+        columns = ["seq", "op", "ok", "reason", "memory_ids", "memory_id", "evidence_ids", *_FIELDS]
+        done = pd.DataFrame({c: pd.Series([o.get(c) for o in out], dtype=object) for c in columns})
+        done.insert(0, "scope", name)
+        kinds = {"Int64": ("seq", "memory_id", "superseded_by", "access_count"), "Float64": ("ts", "last_accessed", "updated_at", "valid_from", "valid_to"), "boolean": ("ok",)}
+        return done.astype({c: kind for kind, names in kinds.items() for c in names})
+
+    have = log.sparkSession.createDataFrame([], f"scope long, memory_id long, {ENTRY}") if library is None else library
+    if "evidence_ids" not in have.columns:
+        have = have.withColumn("evidence_ids", F.array().cast("array<long>"))
+    have = have.select("scope", "memory_id", "evidence_ids", *_FIELDS).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("text", F.lit("")))))
+    schema = f"scope long, seq long, op string, ok boolean, reason string, memory_ids array<long>, memory_id long, evidence_ids array<long>, {ENTRY}"
+    done = written(parts.drop("text").groupBy("scope").cogroup(have.groupBy("scope")).applyInPandas(fold, schema))
+    return done.filter("seq is not null").select("scope", "seq", "op", "ok", "reason", "memory_ids"), done.filter("seq is null").select("scope", "memory_id", "evidence_ids", *_FIELDS)

@@ -33,7 +33,7 @@ _RANK = "(case {} when 'model' then 3 when 'import' then 2 when 'hook' then 1 el
 _SET = "{{'id': r.id, 'text': {text}, 'tok': {tok}, 'emb': {emb}, 'response': {response}, 'source': {source}, 'ts': r.ts, 'seen': x.ts, 'uses': r.uses + 1, 'tags': r.tags, 'sup': r.sup, 'upd': {upd}, 'vf': r.vf, 'vt': r.vt, 'key': r.key, 'val': r.val}}"
 _STRENGTHENED = _SET.format(text="r.text", tok="r.tok", emb="r.emb", response="r.response", source="r.source", upd="r.upd")
 _MERGED = _SET.format(text="x.chunk", tok="x.tok", emb="x.emb", response="case when x.response <> '' then x.response else r.response end", source=f"case when {_RANK.format('x.source')} >= {_RANK.format('r.source')} then x.source else r.source end", upd="case when r.text <> x.chunk then x.ts else r.upd end")
-_STONE = "{'id': len(rows)::bigint, 'text': best.text, 'tok': best.tok, 'emb': best.emb, 'response': best.response, 'source': best.source, 'ts': best.ts, 'seen': best.seen, 'uses': 0::bigint, 'tags': best.tags, 'sup': best.id, 'upd': best.upd, 'vf': coalesce(nullif(best.vf, 0), best.ts), 'vt': x.ts, 'key': best.key, 'val': null::varchar}"
+_STONE = "{'id': len(rows)::bigint, 'text': best.text, 'tok': best.tok, 'emb': best.emb, 'response': best.response, 'source': best.source, 'ts': best.ts, 'seen': best.seen, 'uses': 0::bigint, 'tags': best.tags, 'sup': best.id, 'upd': null::double, 'vf': coalesce(nullif(best.vf, 0), best.ts), 'vt': x.ts, 'key': best.key, 'val': null::varchar}"
 _NEW = "{'id': len(rows)::bigint, 'text': x.chunk, 'tok': x.tok, 'emb': x.emb, 'response': x.response, 'source': x.source, 'ts': x.made, 'seen': x.made, 'uses': 0::bigint, 'tags': x.tags, 'sup': null::bigint, 'upd': null::double, 'vf': x.made, 'vt': null::double, 'key': x.key, 'val': x.state_value}"
 _OLD = "{'id': r.id, 'text': r.text, 'tok': r.tok, 'emb': r.emb, 'response': r.response, 'source': r.source, 'ts': r.ts, 'seen': r.seen, 'uses': r.uses, 'tags': r.tags, 'sup': case when x.key is not null and r.key = x.key and r.sup is null then len(rows)::bigint else r.sup end, 'upd': r.upd, 'vf': r.vf, 'vt': case when x.key is not null and r.key = x.key and r.sup is null then x.made else r.vt end, 'key': r.key, 'val': r.val}"
 
@@ -78,3 +78,27 @@ def requests_done(spark, d):
 def library(spark, d):
     """All rows after the fold: merges leave tombstones, keyed writes close the key's row before."""
     return writes.entries(writes.remember(requests(spark, d)))
+
+
+def operations(spark, d):
+    """A log of each conversation: its turns remembered, later turns superseding earlier ones, pairs consolidated, some rows forgotten; some operations ask
+    for ids that there aren't, or make a cycle."""
+    t = F.col("turn")
+    c = table(spark, d, "conversations").withColumn("op", F.explode(F.array(*map(F.lit, ("remember", "supersede", "consolidate", "forget", "merge")))))
+    c = c.filter((F.col("op") == "remember") | ((F.col("op") == "supersede") & (t % 2 == 1)) | ((F.col("op") == "consolidate") & (t % 3 == 2)) | ((F.col("op") == "forget") & (t % 4 == 3)) | ((F.col("op") == "merge") & (t == 5)))
+    place = F.element_at(F.create_map(*(F.lit(x) for x in ("remember", 0, "supersede", 1, "consolidate", 2, "forget", 3, "merge", 4))), F.col("op"))
+    return c.select(
+        F.col("conv_id").alias("scope"), (t * 5 + place).alias("seq"), "op", (F.lit(FIRST) + t * 60).cast("double").alias("ts"), F.lit("model").alias("source"),
+        F.when(F.col("op") == "remember", F.col("text")).when(F.col("op") == "consolidate", F.concat(F.lit("Both turns agree, as of turn "), t.cast("string"))).alias("text"),
+        F.when(t % 8 == 5, t).otherwise(t - 1).alias("old_id"), F.when(t % 8 == 5, t - 1).otherwise(t).alias("new_id"), F.array(t, t - 1, t).alias("memory_ids"), (t * 2 - 3).alias("memory_id"),
+    )
+
+
+@query("J18_log")
+def log_outcomes(spark, d):
+    return writes.replay(operations(spark, d))[0]
+
+
+@query("J18_library")
+def log_library(spark, d):
+    return writes.replay(operations(spark, d))[1].drop("text")

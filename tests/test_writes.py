@@ -29,7 +29,7 @@ def plain_fold(chunks):
         elif best is not None and sim > near:
             action = "merged"
             if best["text"] != c["text"]:
-                rows.append(best | {"id": len(rows), "sup": best["id"], "uses": 0, "val": None, "to": c["ts"]})
+                rows.append(best | {"id": len(rows), "sup": best["id"], "uses": 0, "val": None, "upd": None, "to": c["ts"]})
                 best.update(text=c["text"], tokens=c["tokens"], upd=c["ts"])
             if RANK.get(c["source"], 0) >= RANK.get(best["source"], 0):
                 best["source"] = c["source"]
@@ -131,3 +131,118 @@ def test_refusals(spark):
 
 def test_no_requests(spark):
     assert writes.remember(requests(spark, [])).count() == 0
+
+
+def plain_log(steps):
+    """Operations one by one over a dict of rows; remembered texts by the plain fold's rules."""
+    embed, rows, out, following = writes.Embedder(), {}, [], 0
+
+    def add(row):
+        nonlocal following
+        rows[following] = row | {"id": following, "evidence": []}
+        following += 1
+        return following - 1
+
+    def write(c, forced):
+        live = [r for r in rows.values() if r["sup"] is None]
+        best, sim = None, 0.0
+        if live and not forced:
+            sims = [round(float(embed(r["tokens"]) @ embed(c["tokens"])), 9) for r in live]
+            best, sim = live[int(np.argmax(sims))], max(sims)
+        same, near = (0.95, 0.85) if len(c["text"]) < 30 else (0.92, 0.75)
+        if best is not None and sim > same and not set(c["tokens"]) - set(best["tokens"]):
+            return best["id"]
+        if best is not None and sim > near:
+            if best["text"] != c["text"]:
+                add({"text": best["text"], "tokens": best["tokens"], "sup": best["id"]})
+                best.update(text=c["text"], tokens=c["tokens"])
+            return best["id"]
+        return add({"text": c["text"], "tokens": c["tokens"], "sup": None})
+
+    for s in steps:
+        op = s["op"]
+        if op == "remember":
+            out.append((op, "ok", [write(s, False)]))
+        elif op == "supersede":
+            a, b = s["old_id"], s["new_id"]
+            chain, at = [], b
+            while at in rows and at not in chain:
+                chain.append(at)
+                at = rows[at]["sup"]
+            if a == b:
+                reason = "same"
+            elif a not in rows or b not in rows:
+                reason = "unknown"
+            elif a in chain or at == a:
+                reason = "cycle"
+            elif rows[b]["sup"] is not None:
+                reason = "new_superseded"
+            else:
+                reason = "ok"
+                rows[a]["sup"] = b
+            out.append((op, reason, []))
+        elif op == "consolidate":
+            ids = sorted(set(s["memory_ids"]))
+            if len(ids) < 2 or any(i not in rows for i in ids):
+                out.append((op, "too_few" if len(ids) < 2 else "unknown", []))
+            else:
+                made = write(s, True)
+                rows[made]["evidence"] = ids
+                out.append((op, "ok", [made]))
+        elif op == "forget":
+            gone = rows.pop(s["memory_id"], None)
+            for r in rows.values():
+                r["evidence"] = [x for x in r["evidence"] if x != s["memory_id"]]
+            out.append((op, "ok" if gone else "unknown", []))
+        else:
+            out.append((op, "unknown_operation", []))
+    return out, [(r["id"], r["text"], r["sup"], r["evidence"]) for r in rows.values()]
+
+
+def some_log(n, seed):
+    rng = random.Random(seed)
+    texts = [c for c in some_chunks(2 * n, seed) if len(c["text"]) > 9]
+    out = []
+    for i in range(n):
+        op = rng.choice(["remember"] * 6 + ["supersede"] * 3 + ["consolidate", "forget", "odd"])
+        top = max(3, i // 2)
+        c = texts[i]
+        out.append({"op": op, "text": c["text"], "tokens": c["tokens"], "chunk": c["text"], "ts": float(i), "timestamp": None, "source": "model", "response": "", "tags": None, "compartment": None, "force_new": False, "state_key": None, "state_value": None, "refused": None,
+                    "old_id": rng.randint(0, top), "new_id": rng.randint(0, top), "memory_ids": [rng.randint(0, top) for _ in range(rng.randint(1, 3))], "memory_id": rng.randint(0, top)})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_log_is_a_serial_fold(monkeypatch, seed):
+    monkeypatch.setattr(writes, "BLOCK", 5)
+    steps = some_log(300, seed)
+    scope = writes.Scope([], writes.Embedder())
+    got = [(s["op"], o["reason"], o["memory_ids"]) for s, o in zip(steps, scope.replay([[s] for s in steps]), strict=True)]
+    want, rows = plain_log(steps)
+    assert got == want
+    assert [(r["memory_id"], r["text"], r["superseded_by"], r.get("evidence_ids") or []) for r in scope.rows if not r.get("gone")] == rows
+    assert {r for _, r, _ in got} >= {"ok", "unknown", "new_superseded"}
+
+
+def test_cycles_are_refused():
+    scope = writes.Scope([], writes.Embedder())
+    list(scope.write(some_chunks(8, 1)[:3] + [c | {"force_new": True, "state_key": None} for c in some_chunks(8, 2)]))
+    a, b, c = [r["memory_id"] for r in scope.rows if r["superseded_by"] is None][:3]
+    assert [scope.supersede(a, b, 1.0), scope.supersede(b, a, 1.0), scope.supersede(b, c, 1.0), scope.supersede(c, a, 1.0), scope.supersede(a, b, 1.0), scope.supersede(a, c, 1.0)] == ["ok", "cycle", "ok", "cycle", "new_superseded", "ok"]
+
+
+def test_log_as_a_table(spark):
+    names = ["scope", "seq", "op", "text", "ts", "old_id", "new_id", "memory_ids", "memory_id"]
+    log = [
+        (1, 1, "remember", "the sky over the port is grey", 1.0, None, None, None, None), (1, 2, "remember", "rain is due in the evening", 2.0, None, None, None, None),
+        (1, 3, "consolidate", "wet weather is ahead of us", 3.0, None, None, [1, 0], None), (1, 4, "supersede", None, 4.0, 0, 1, None, None), (1, 5, "forget", None, 5.0, None, None, None, 0),
+        (1, 6, "consolidate", "hf_secret holds", 6.0, None, None, [1, 2], None), (1, 7, "supersede", None, 7.0, None, 2, None, None), (2, 1, "remember", None, 1.0, None, None, None, None), (2, 2, None, None, 1.0, None, None, None, None),
+    ]
+    done, library = writes.replay(spark.createDataFrame(log, "scope long, seq long, op string, text string, ts double, old_id long, new_id long, memory_ids array<long>, memory_id long").select(*names))
+    assert [(r.scope, r.seq, r.ok, r.reason, r.memory_ids) for r in done.orderBy("scope", "seq").collect()] == [
+        (1, 1, True, "ok", [0]), (1, 2, True, "ok", [1]), (1, 3, True, "ok", [2]), (1, 4, True, "ok", []), (1, 5, True, "ok", []), (1, 6, False, "credential", []), (1, 7, False, "unknown", []),
+        (2, 1, False, "empty", []), (2, 2, False, "unknown_operation", []),
+    ]
+    assert [(r.memory_id, r.superseded_by, r.evidence_ids) for r in library.orderBy("memory_id").collect()] == [(1, None, []), (2, None, [1])]
+    more, after = writes.replay(spark.createDataFrame([(1, 9, "forget", 1)], "scope long, seq long, op string, memory_id long"), library)
+    assert [(r.memory_id, r.evidence_ids) for r in after.collect()] == [(2, [])] and more.first().ok
