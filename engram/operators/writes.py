@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from ..sources.shared import written
@@ -148,7 +151,7 @@ class Scope:
             elif op == "consolidate":
                 reason, made = self.consolidate(c["memory_ids"] or [], steps[i])
             elif op == "forget":
-                reason = self.forget(c["memory_id"])
+                reason = self.forget(c["asked_id"])
             else:
                 reason = "unknown_operation"
             yield {"ok": reason == "ok", "reason": reason, "memory_ids": made}
@@ -249,53 +252,51 @@ def chunked(requests: DataFrame) -> DataFrame:
     refused = F.when(F.col("chunks").isNull(), "credential").when(n == 0, "empty").when(F.col("state_key").isNotNull() & (n > 1), "keyed_chunks")
     rows = rows.withColumn("refused", refused)
     kept = rows.select("*", F.posexplode_outer(F.when(F.col("refused").isNull(), F.col("chunks"))).alias("pos", "chunk"))
-    return kept.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("chunk", F.lit(""))))).drop("chunks")
+    return kept.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("chunk", F.lit(""))))).drop("chunks", "text")
 
 
-_LISTS = ("tags", "tokens", "evidence_ids", "memory_ids")
-
-
-def _plain(x):
-    return None if x is None or (isinstance(x, float) and np.isnan(x)) or x is pd.NaT or x is pd.NA else x
-
-
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    return [{k: (None if v is None else list(v)) if k in _LISTS else _plain(v) for k, v in r.items()} for r in pdf.to_dict("records")]
-
-
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    """Entries of a scope, in the order of their ids."""
-    return [r | {"superseded_by": None if r["superseded_by"] is None else int(r["superseded_by"]), "access_count": int(r["access_count"] or 0), "tags": r["tags"] or [], "tokens": r["tokens"] or []} for r in _records(pdf)]
+def _by_scope(parts: DataFrame, library: DataFrame, fold, schema: str) -> DataFrame:
+    """``fold(scope, entries, chunks)``, rows as dictionaries in order, for each scope; what it returns, rows as dictionaries, written once.
 
+    Rows are dealt out by scope and sorted within the partitions; a task reads one scope after the other and holds one at a time.
+    """
+    out = to_arrow_schema(T_.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for scope, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["scope"]):
+            there, chunks = [], []
+            for r in rows:
+                if r["kind"]:
+                    chunks.append(r | {"text": r["chunk"], "tokens": r["tokens"] or [], "force_new": bool(r["force_new"])})
+                else:
+                    there.append(r | {"access_count": r["access_count"] or 0, "tags": r["tags"] or [], "tokens": r["tokens"] or []})
+            held += [{"scope": scope} | x for x in fold(there, chunks)]
+            while len(held) >= 5000:
+                yield pa.RecordBatch.from_pylist(held[:5000], schema=out)
+                held = held[5000:]
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=out)
 
-def _asked(pdf: pd.DataFrame) -> list[dict]:
-    """Chunks of a scope, in order."""
-    return [c | {"text": c["chunk"], "tokens": c["tokens"] or [], "force_new": bool(c["force_new"])} for c in _records(pdf.sort_values(["seq", "pos"]))]
+    both = parts.withColumn("kind", F.lit(1)).unionByName(library.withColumn("kind", F.lit(0)).withColumn("seq", F.col("memory_id")), allowMissingColumns=True)
+    return both.repartition("scope").sortWithinPartitions("scope", "kind", "seq", "pos").mapInArrow(run, schema)
 
 
 def remember(requests: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """The fold over requests, written once: one row for each chunk or refused request (seq and action set), one for each entry of the library
     after it (seq null). ``library``: entries (scope, memory_id, …) that are there before."""
-    parts = chunked(requests)
+    parts = written(chunked(requests))  # a filter on what became of a request would cut its text anew for each column it looks at
 
-    def fold(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        scope = Scope(_rows(there.sort_values("memory_id")), Embedder())
-        chunks = _asked(asked)
+    def fold(there: list[dict], chunks: list[dict]) -> list[dict]:
+        scope = Scope(there, Embedder())
         out = [{"seq": c["seq"], "pos": c["pos"]} | o for c, o in zip(chunks, scope.write(chunks), strict=True)]
-        out += [{"memory_id": r["memory_id"]} | {k: r[k] for k in _FIELDS} for r in scope.rows]
-        name = (asked if len(asked) else there)["scope"].iloc[0]
-        columns = ["seq", "pos", "action", "memory_id", "novelty", *_FIELDS]
-        done = pd.DataFrame({c: pd.Series([o.get(c) for o in out], dtype=object) for c in columns})
-        done.insert(0, "scope", name)
-        for c in ("seq", "pos", "memory_id", "superseded_by", "access_count"):
-            done[c] = done[c].astype("Int64")
-        return done.astype({c: "Float64" for c in ("novelty", "ts", "last_accessed", "updated_at", "valid_from", "valid_to")})
+        return out + [{"memory_id": r["memory_id"]} | {k: r[k] for k in _FIELDS} for r in scope.rows]
 
     kept = parts.filter("refused is null").select("scope", "seq", "pos", "chunk", "tokens", "response", "tags", "source", "ts", "timestamp", "force_new", "compartment", "state_key", "state_value")
     if library is None:
         library = requests.sparkSession.createDataFrame([], f"scope long, memory_id long, {ENTRY}")
     library = library.select("scope", "memory_id", *_FIELDS).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("text", F.lit("")))))
-    done = kept.groupBy("scope").cogroup(library.groupBy("scope")).applyInPandas(fold, FOLD)
+    done = _by_scope(kept, library, fold, FOLD)
     none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in ENTRY.split(", ")]
     turned = parts.filter("refused is not null").select("scope", "seq", F.col("pos").cast("int").alias("pos"), F.col("refused").alias("action"), F.lit(None).cast("long").alias("memory_id"), F.lit(0.0).alias("novelty"), *none)
     return written(done.unionByName(turned))
@@ -335,26 +336,19 @@ def replay(log: DataFrame, library: DataFrame | None = None) -> tuple[DataFrame,
     id isn't given again. ``library``: entries (scope, memory_id, …), with or without evidence_ids.
     """
     rows = log.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in LOG.items() if c not in log.columns))
-    parts = chunked(rows.withColumn("state_key", F.lit(None).cast("string")).withColumn("source", F.coalesce("source", F.lit("model")) if "source" in rows.columns else F.lit("model")))
-
-    def fold(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        scope = Scope(_rows(there.sort_values("memory_id")), Embedder())
-        steps: dict[int, list[dict]] = {}
-        for c in _asked(asked):
-            steps.setdefault(c["seq"], []).append({k: int(v) if k in ("old_id", "new_id", "memory_id") and v is not None else v for k, v in c.items()})
-        name = (asked if len(asked) else there)["scope"].iloc[0]
-        out = [{"seq": k, "op": step[0]["op"]} | o for (k, step), o in zip(steps.items(), scope.replay(list(steps.values())), strict=True)]
-        out += [{"memory_id": r["memory_id"], "evidence_ids": r.get("evidence_ids") or []} | {k: r[k] for k in _FIELDS} for r in scope.rows if not r.get("gone")]
-        columns = ["seq", "op", "ok", "reason", "memory_ids", "memory_id", "evidence_ids", *_FIELDS]
-        done = pd.DataFrame({c: pd.Series([o.get(c) for o in out], dtype=object) for c in columns})
-        done.insert(0, "scope", name)
-        kinds = {"Int64": ("seq", "memory_id", "superseded_by", "access_count"), "Float64": ("ts", "last_accessed", "updated_at", "valid_from", "valid_to"), "boolean": ("ok",)}
-        return done.astype({c: kind for kind, names in kinds.items() for c in names})
+    parts = written(chunked(rows.withColumn("state_key", F.lit(None).cast("string")).withColumn("source", F.coalesce("source", F.lit("model")) if "source" in rows.columns else F.lit("model"))))
+
+    def fold(there: list[dict], chunks: list[dict]) -> list[dict]:
+        scope = Scope(there, Embedder())
+        steps = [list(x) for _, x in itertools.groupby(chunks, key=lambda c: c["seq"])]
+        out = [{"seq": step[0]["seq"], "op": step[0]["op"]} | o for step, o in zip(steps, scope.replay(steps), strict=True)]
+        return out + [{"memory_id": r["memory_id"], "evidence_ids": r.get("evidence_ids") or []} | {k: r[k] for k in _FIELDS} for r in scope.rows if not r.get("gone")]
 
     have = log.sparkSession.createDataFrame([], f"scope long, memory_id long, {ENTRY}") if library is None else library
     if "evidence_ids" not in have.columns:
         have = have.withColumn("evidence_ids", F.array().cast("array<long>"))
     have = have.select("scope", "memory_id", "evidence_ids", *_FIELDS).withColumn("tokens", F.array_sort(T.tokens(F.coalesce("text", F.lit("")))))
     schema = f"scope long, seq long, op string, ok boolean, reason string, memory_ids array<long>, memory_id long, evidence_ids array<long>, {ENTRY}"
-    done = written(parts.drop("text").groupBy("scope").cogroup(have.groupBy("scope")).applyInPandas(fold, schema))
+    asked = parts.withColumnRenamed("memory_id", "asked_id")
+    done = written(_by_scope(asked, have, fold, schema))
     return done.filter("seq is not null").select("scope", "seq", "op", "ok", "reason", "memory_ids"), done.filter("seq is null").select("scope", "memory_id", "evidence_ids", *_FIELDS)

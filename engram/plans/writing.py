@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import writes
-from ..sources.entries import FIRST, table
+from ..operators import idle, writes
+from ..sources.entries import FIRST, NOW, entries, table
 from .base import query
 from .scalar import CHUNKS, LONG, MARKS, PATTERNS, TOKENS
 from .streams import _DIMS, _EMPTY
@@ -102,3 +102,10 @@ def log_outcomes(spark, d):
 @query("J18_library")
 def log_library(spark, d):
     return writes.replay(operations(spark, d))[1].drop("text")
+
+
+@query("M7_proposals")
+def proposals(spark, d):
+    """What a window of the last fourteen days leads to, for two of the compartments, by the stub judge."""
+    e = entries(spark, d)
+    return idle.propose(e, NOW, minutes=20_000, compartment="fr").unionByName(idle.propose(e, NOW, minutes=20_000, compartment="de")).select("proposal_id", "compartment", "text", "status", "note")

@@ -190,9 +190,9 @@ def plain_log(steps):
                 rows[made]["evidence"] = ids
                 out.append((op, "ok", [made]))
         elif op == "forget":
-            gone = rows.pop(s["memory_id"], None)
+            gone = rows.pop(s["asked_id"], None)
             for r in rows.values():
-                r["evidence"] = [x for x in r["evidence"] if x != s["memory_id"]]
+                r["evidence"] = [x for x in r["evidence"] if x != s["asked_id"]]
             out.append((op, "ok" if gone else "unknown", []))
         else:
             out.append((op, "unknown_operation", []))
@@ -208,7 +208,7 @@ def some_log(n, seed):
         top = max(3, i // 2)
         c = texts[i]
         out.append({"op": op, "text": c["text"], "tokens": c["tokens"], "chunk": c["text"], "ts": float(i), "timestamp": None, "source": "model", "response": "", "tags": None, "compartment": None, "force_new": False, "state_key": None, "state_value": None, "refused": None,
-                    "old_id": rng.randint(0, top), "new_id": rng.randint(0, top), "memory_ids": [rng.randint(0, top) for _ in range(rng.randint(1, 3))], "memory_id": rng.randint(0, top)})
+                    "old_id": rng.randint(0, top), "new_id": rng.randint(0, top), "memory_ids": [rng.randint(0, top) for _ in range(rng.randint(1, 3))], "asked_id": rng.randint(0, top)})
     return out
 
 
