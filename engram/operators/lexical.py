@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,21 +23,107 @@ def frequencies(entries: DataFrame) -> DataFrame:
     return postings(entries).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def scores(entries: DataFrame, queries: DataFrame, mode: str = "ratio") -> DataFrame:
-    """(query_id, memory_id, score). ``queries``: (query_id, text), one row per chunk.
+#: Words of queries that are shared at once, queries that a batch is compared with at once, and rows of a batch.
+WORDS, QUERIES, ROWS = 500_000, 2048, 4096
+
 
-    ``ratio``: matched IDF over all IDF of the query, tokens that no entry has counting at the highest IDF;
-    ``sum``: matched IDF alone; ``known``: as ratio, leaving unknown tokens out of the denominator.
+def weights(entries: DataFrame, queries: DataFrame, mode: str = "ratio") -> DataFrame:
+    """(query_id, words): the words of each query that some entry has, with their weights. ``queries``: (query_id, text), one row per chunk.
+
+    ``ratio``: IDF over all IDF of the query, tokens that no entry has counting at the highest IDF; ``sum``: IDF alone; ``known``: as ratio,
+    leaving unknown tokens out of the denominator. Document frequencies are counted within each task first.
     """
     total = entries.agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    wanted = asked.select("token").distinct()
-    held = postings(entries).join(wanted, "token", "left_semi")
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "token", "left").crossJoin(F.broadcast(total))  # one row
-    weighed = weighed.select("query_id", "token", "df", F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))).alias("idf"))
-    whole = weighed.groupBy("query_id").agg(F.sum(F.when(F.col("df").isNotNull() | F.lit(mode != "known"), F.col("idf")).otherwise(0.0)).alias("all_idf"))
-    matched = weighed.filter("df is not null").join(held, "token").groupBy("query_id", "memory_id").agg(F.sum("idf").alias("idf"))
-    if mode == "sum":
-        return matched.select("query_id", "memory_id", F.col("idf").alias("score"))
-    return matched.join(whole, "query_id").select("query_id", "memory_id", F.least(F.col("idf") / F.col("all_idf"), F.lit(1.0)).alias("score"))
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    weighed = asked.join(frequencies(entries), "token", "left").crossJoin(F.broadcast(total))  # one row
+    weighed = weighed.select("query_id", "token", "df", (F.col("times") * F.log(1 + F.col("n") / F.coalesce("df", F.lit(1)))).alias("idf"))
+    known = F.col("df").isNotNull()
+    whole = F.sum(F.when(known | F.lit(mode != "known"), F.col("idf")).otherwise(0.0))
+    per = weighed.groupBy("query_id").agg(whole.alias("whole"), F.array_sort(F.collect_list(F.when(known, F.struct("token", "idf")))).alias("words"))
+    share = (lambda w: w["idf"]) if mode == "sum" else (lambda w: w["idf"] / F.col("whole"))
+    return per.select("query_id", F.transform("words", lambda w: F.struct(w["token"].alias("token"), share(w).alias("weight"))).alias("words")).filter(F.size("words") > 0)
+
+
+def scores(entries: DataFrame, queries: DataFrame, mode: str = "ratio", k: int | None = None) -> DataFrame:
+    """(query_id, memory_id, score): matched weight of each query and entry that share a word; with ``k`` the query's best ``k`` only, with ``rank`` from 0.
+
+    Entries stay where they are: the queries' words go to the tasks, at most about ``WORDS`` at once, and each task adds up its entries' scores and hands on its
+    best ``k`` for each query. Scores count to nine digits where they are ranked; ties go to the smaller id.
+    """
+    spark = entries.sparkSession
+    said = entries.select("memory_id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    out, held, size = None, [], 0
+
+    def against(part: list) -> DataFrame:
+        names = sorted({w.token for r in part for w in r.words})
+        number = {t: i for i, t in enumerate(names)}
+        pairs = sorted((number[w.token], q, w.weight) for q, r in enumerate(part) for w in r.words)
+        shared = spark.sparkContext.broadcast((names, np.array([r.query_id for r in part], np.int64), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, ids, token, query, weight = shared.value
+            words, starts = pa.array(words, pa.string()), np.searchsorted(token, np.arange(len(words) + 1))
+            best: dict[int, tuple] = {}
+
+            def rows(at: np.ndarray, score: np.ndarray, memory: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(memory), pa.array(score)], names=["query_id", "memory_id", "score"])
+
+            for batch in batches:
+                for low in range(0, batch.num_rows, ROWS):
+                    b = batch.slice(low, ROWS)
+                    memory, lists = b.column(0).to_numpy(), b.column(1)
+                    code = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+                    entry = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+                    order = np.lexsort((entry, code))
+                    order = order[code[order] >= 0]
+                    code, entry = code[order], entry[order]
+                    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+                    groups = list(zip(code[new].tolist(), np.split(entry, new[1:]), strict=True)) if len(code) else []
+                    for first in range(0, len(ids), QUERIES):
+                        count = min(QUERIES, len(ids) - first)
+                        total = np.zeros((count, b.num_rows))
+                        for c, having in groups:
+                            x, y = starts[c], starts[c + 1]
+                            i, j = np.searchsorted(query[x:y], (first, first + count)) + x
+                            if i < j:
+                                total[np.ix_(query[i:j] - first, having)] += weight[i:j, None]
+                        near = total > 0
+                        if mode != "sum":
+                            np.minimum(total, 1.0, out=total)
+                        if k is None:
+                            at, e = np.nonzero(near)
+                            yield rows(at + first, total[at, e], memory[e])
+                            continue
+                        ranked = np.round(total, 9)
+                        if k < b.num_rows:
+                            near &= ranked >= np.partition(ranked, b.num_rows - k, axis=1)[:, b.num_rows - k, None]
+                        if first in best:  # less than the k-th so far can't be among the first k
+                            near &= ranked >= best[first][3][:, None]
+                        at, e = np.nonzero(near)
+                        found = (at, total[at, e], memory[e])
+                        if first in best:
+                            found = tuple(map(np.concatenate, zip(best[first][:3], found)))
+                        order = np.lexsort((found[2], -np.round(found[1], 9), found[0]))
+                        at = found[0][order]
+                        place = np.arange(len(at)) - np.searchsorted(at, at)
+                        least = np.zeros(count)
+                        least[at[place == k - 1]] = np.round(found[1][order][place == k - 1], 9)
+                        best[first] = (*(x[order][place < k] for x in found), least)
+            for first, (at, score, memory, _) in best.items():
+                yield rows(at + first, score, memory)
+
+        return said.mapInArrow(run, "query_id long, memory_id long, score double")
+
+    for r in weights(entries, queries, mode).toLocalIterator():
+        if held and size + len(r.words) > WORDS:
+            out, held, size = against(held) if out is None else out.unionByName(against(held)), [], 0
+        held.append(r)
+        size += len(r.words)
+    if held:
+        out = against(held) if out is None else out.unionByName(against(held))
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, memory_id long, score double")
+    if k is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "memory_id"))
+    return out.withColumn("rank", (rank - 1).cast("int")).filter(F.col("rank") < k)

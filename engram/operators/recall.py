@@ -20,10 +20,8 @@ def dense_list(vectors: DataFrame, query_vectors: DataFrame, pool: int = POOL) -
 
 def lexical_list(entries: DataFrame, queries: DataFrame, pool: int = POOL, mode: str = "ratio") -> DataFrame:
     """(query_id, memory_id, lex, lex_rank); rows without a match never enter."""
-    s = lexical.scores(entries, queries, mode).filter("score > 0")
     # Ranks are by the score at nine digits: sums of the same terms may differ in the last bits with their order.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "memory_id"))
-    return s.withColumn("lex_rank", rank - 1).filter(F.col("lex_rank") < pool).withColumnRenamed("score", "lex")
+    return lexical.scores(entries, queries, mode, pool).withColumnsRenamed({"score": "lex", "rank": "lex_rank"})
 
 
 def fuse(dense: DataFrame, lex: DataFrame, constant: int = RRF) -> DataFrame:
