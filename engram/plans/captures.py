@@ -8,8 +8,9 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import batches, recall
 from ..sources.entries import NOW, entries, query_vectors, vectors
+from ..sources.shared import written
 from .base import query
-from .memory import HYBRID, hybrid
+from .memory import HYBRID, asked, hybrid
 from .scalar import BLANK
 from .vectors import BEST, COS
 
@@ -57,8 +58,9 @@ select query_id, printf('%.2f', best) as top_sim, len(ps)::integer as taken, use
 from fine join (select query_id, arg_min(sim, rank) as best from hit group by query_id) using (query_id) left join told using (query_id)""",
 )
 def block_with_parents(spark, d):
-    h, v, q, qv = hybrid(spark, d)
-    found = recall.recall(h, v, q, qv, 25).select("query_id", "memory_id", "rank")
+    h, v, _, qv = hybrid(spark, d)
+    h = written(h)  # read three times: the texts meet the vectors' ids once
+    found = recall.recall(h, v, asked(h), qv, 25).select("query_id", "memory_id", "rank")
     both = found.join(v.select("memory_id", "embedding"), "memory_id").join(qv.withColumnRenamed("embedding", "qe"), "query_id")
     sims = both.select("query_id", "memory_id", "rank", V.cosine(F.col("embedding"), F.col("qe")).alias("sim"))
     return batches.recall_block(entries(spark, d), sims, NOW, window=WINDOW)
