@@ -23,6 +23,12 @@ def frequencies(entries: DataFrame) -> DataFrame:
     return postings(entries).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def matches(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, matches): postings that a query's words meet. A word meets as many as its document frequency, so no posting is joined."""
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return asked.join(frequencies(entries), "token").groupBy("query_id").agg(F.sum("df").alias("matches"))
+
+
 #: Words of queries that are shared at once, queries that a batch is compared with at once, and rows of a batch.
 WORDS, QUERIES, ROWS = 500_000, 2048, 4096
 

@@ -51,8 +51,7 @@ def idf_sum(spark, d):
 @query("E2_postings", f", p as (select memory_id, unnest({TOKENS}) as token from e), q as (select memory_id as query_id, unnest({TOKENS}) as token from e where memory_id % 50 = 0) select query_id, count(*) as matches from q join p using (token) group by query_id")
 def postings(spark, d):
     e = entries(spark, d)
-    q = asked(e).select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    return q.join(lexical.postings(e), "token").groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
+    return lexical.matches(e, asked(e))
 
 
 #: Both lists over the shared ids, fused; dense ties by id, lexical ties by the score at nine digits, then id.

@@ -52,3 +52,16 @@ def test_scores(spark, data, monkeypatch, mode, sizes):
         best[a].append((-round(s, 9), b))
     top = lexical.scores(e, q, mode, 7).collect()
     assert sorted((r.query_id, r.rank, r.memory_id) for r in top) == sorted((a, k, b) for a, x in best.items() for k, (_, b) in enumerate(sorted(x)[:7]))
+
+
+def test_matches_without_pairs(spark, data):
+    entries, queries = data
+    e, q = spark.createDataFrame(entries, "memory_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    held = [set((t or "").lower().split()) for _, t in entries]
+    want = Counter()
+    for i, t in queries:
+        want[i] += sum(len(set((t or "").lower().split()) & have) for have in held)
+    found = lexical.matches(e, q)
+    assert {r.query_id: r.matches for r in found.collect()} == {i: n for i, n in want.items() if n}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [token")  # below the join: frequencies, not postings
