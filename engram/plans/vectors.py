@@ -24,9 +24,8 @@ def cosine(spark, d):
 @query("C3_best_chunk", f"select b.vec_id as memory_id, a.label as grp, round(max({COS}), 5) as sim from embeddings a, embeddings b where a.vec_id % 50 = 0 group by b.vec_id, a.label", entries=False)
 def best_chunk(spark, d):
     v = vectors(spark, d)
-    asked = v.filter("memory_id % 50 = 0")
-    s = V.nearest(v, asked.select(F.col("memory_id").alias("query_id"), "embedding"), None)
-    return s.join(asked.select(F.col("memory_id").alias("query_id"), F.col("label").alias("grp")), "query_id").groupBy("memory_id", "grp").agg(F.round(F.max("sim"), 5).alias("sim"))
+    asked = v.filter("memory_id % 50 = 0").select("embedding", F.col("label").alias("grp"))
+    return V.best_by(v, asked, "grp").withColumn("sim", F.round("sim", 5))
 
 
 @query("C4_normalised", "select vec_id as memory_id, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as length, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as first from embeddings", entries=False)
