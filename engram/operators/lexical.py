@@ -29,8 +29,8 @@ def matches(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(frequencies(entries), "token").groupBy("query_id").agg(F.sum("df").alias("matches"))
 
 
-#: Words of queries that are shared at once, queries that a batch is compared with at once, and rows of a batch.
-WORDS, QUERIES, ROWS = 500_000, 2048, 4096
+#: Words of queries that are shared at once, queries that a batch is compared with at once, rows of a batch, and queries that are ranked at once.
+WORDS, QUERIES, ROWS, RANKED = 500_000, 2048, 2048, 256
 
 
 def weights(entries: DataFrame, queries: DataFrame, mode: str = "ratio") -> DataFrame:
@@ -50,6 +50,14 @@ def weights(entries: DataFrame, queries: DataFrame, mode: str = "ratio") -> Data
     return per.select("query_id", F.transform("words", lambda w: F.struct(w["token"].alias("token"), share(w).alias("weight"))).alias("words")).filter(F.size("words") > 0)
 
 
+def pair_scores(entries: DataFrame, queries: DataFrame, pairs: DataFrame, mode: str = "ratio") -> DataFrame:
+    """(query_id, memory_id, score) of the given ``pairs`` (query_id, memory_id) only, as in ``scores``; 0 where no word is shared."""
+    said = entries.select("memory_id", T.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
+    met = pairs.select("query_id", "memory_id").distinct().join(weights(entries, queries, mode), "query_id").join(said, "memory_id")
+    score = F.aggregate(F.filter("words", lambda w: F.array_contains("_t", w["token"])), F.lit(0.0), lambda s, w: s + w["weight"])
+    return met.select("query_id", "memory_id", (score if mode == "sum" else F.least(score, F.lit(1.0))).alias("score"))
+
+
 def scores(entries: DataFrame, queries: DataFrame, mode: str = "ratio", k: int | None = None) -> DataFrame:
     """(query_id, memory_id, score): matched weight of each query and entry that share a word; with ``k`` the query's best ``k`` only, with ``rank`` from 0.
 
@@ -58,6 +66,8 @@ def scores(entries: DataFrame, queries: DataFrame, mode: str = "ratio", k: int |
     """
     spark = entries.sparkSession
     said = entries.select("memory_id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    if k is not None:  # each task hands on k rows per query: as many tasks as the cluster runs, not as many as there are files
+        said = said.coalesce(2 * spark.sparkContext.defaultParallelism)
     out, held, size = None, [], 0
 
     def against(part: list) -> DataFrame:
@@ -93,28 +103,33 @@ def scores(entries: DataFrame, queries: DataFrame, mode: str = "ratio", k: int |
                             i, j = np.searchsorted(query[x:y], (first, first + count)) + x
                             if i < j:
                                 total[np.ix_(query[i:j] - first, having)] += weight[i:j, None]
-                        near = total > 0
-                        if mode != "sum":
-                            np.minimum(total, 1.0, out=total)
-                        if k is None:
+                        for low in range(0, count, RANKED):
+                            part = total[low : low + RANKED]
+                            place = first + low
+                            near = part > 0
+                            if mode != "sum":
+                                np.minimum(part, 1.0, out=part)
+                            if k is None:
+                                at, e = np.nonzero(near)
+                                yield rows(at + place, part[at, e], memory[e])
+                                continue
+                            ranked = np.round(part, 9)
+                            if place in best:  # less than the k-th so far can't be among the first k
+                                near &= ranked >= best[place][3][:, None]
+                            elif k < b.num_rows:
+                                near &= ranked >= np.partition(ranked, b.num_rows - k, axis=1)[:, b.num_rows - k, None]
                             at, e = np.nonzero(near)
-                            yield rows(at + first, total[at, e], memory[e])
-                            continue
-                        ranked = np.round(total, 9)
-                        if k < b.num_rows:
-                            near &= ranked >= np.partition(ranked, b.num_rows - k, axis=1)[:, b.num_rows - k, None]
-                        if first in best:  # less than the k-th so far can't be among the first k
-                            near &= ranked >= best[first][3][:, None]
-                        at, e = np.nonzero(near)
-                        found = (at, total[at, e], memory[e])
-                        if first in best:
-                            found = tuple(map(np.concatenate, zip(best[first][:3], found)))
-                        order = np.lexsort((found[2], -np.round(found[1], 9), found[0]))
-                        at = found[0][order]
-                        place = np.arange(len(at)) - np.searchsorted(at, at)
-                        least = np.zeros(count)
-                        least[at[place == k - 1]] = np.round(found[1][order][place == k - 1], 9)
-                        best[first] = (*(x[order][place < k] for x in found), least)
+                            found = (at, part[at, e], memory[e])
+                            if place in best:
+                                if not len(at):
+                                    continue
+                                found = tuple(map(np.concatenate, zip(best[place][:3], found)))
+                            order = np.lexsort((found[2], -np.round(found[1], 9), found[0]))
+                            at = found[0][order]
+                            nth = np.arange(len(at)) - np.searchsorted(at, at)
+                            least = np.zeros(len(part))
+                            least[at[nth == k - 1]] = np.round(found[1][order][nth == k - 1], 9)
+                            best[place] = (*(x[order][nth < k] for x in found), least)
             for first, (at, score, memory, _) in best.items():
                 yield rows(at + first, score, memory)
 

@@ -103,9 +103,9 @@ def time_scoped(spark, d):
 @query("L21_effective", f"{HYBRID}, k as (select query_id, memory_id, {DW} * case source when 'model' then 1.15 when 'import' then 1.15 when 'hook' then 0.9 else 1.0 end * (coalesce(d.sim, 0) + 0.25 * coalesce(l.score, 0)) as eff from fr left join d using (query_id, memory_id) left join l using (query_id, memory_id) join h using (memory_id) where fused_rank <= 10) select query_id, memory_id, round(eff::double, 5) as eff from k")
 def effective(spark, d):
     h, v, q, qv = hybrid(spark, d)
-    top = recall.fuse(recall.dense_list(v, qv), recall.lexical_list(h, q)).filter("fused_rank <= 10").select("query_id", "memory_id")
+    top = graph.checkpointed(recall.fuse(recall.dense_list(v, qv), recall.lexical_list(h, q)).filter("fused_rank <= 10").select("query_id", "memory_id"))
     found = top.join(v.select("memory_id", "embedding"), "memory_id").join(qv.withColumnRenamed("embedding", "qe"), "query_id")  # a row may be in one list only: both scores are taken anew
-    found = found.join(lexical.scores(h, q), ["query_id", "memory_id"], "left").join(h.select("memory_id", (lifecycle.decay(NOW, TAU) * T.source_weight(F.col("source"))).alias("w")), "memory_id")
+    found = found.join(lexical.pair_scores(h, q, top), ["query_id", "memory_id"], "left").join(h.select("memory_id", (lifecycle.decay(NOW, TAU) * T.source_weight(F.col("source"))).alias("w")), "memory_id")
     sim = V.cosine(F.col("embedding"), F.col("qe"))
     return found.select("query_id", "memory_id", F.round(F.col("w") * (sim + 0.25 * F.coalesce("score", F.lit(0.0))), 5).alias("eff"))
 

@@ -65,3 +65,35 @@ def test_matches_without_pairs(spark, data):
     assert {r.query_id: r.matches for r in found.collect()} == {i: n for i, n in want.items() if n}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate [token")  # below the join: frequencies, not postings
+
+
+@pytest.mark.parametrize("mode", ["ratio", "sum", "known"])
+def test_pair_scores(spark, data, mode):
+    entries, queries = data
+    e, q = spark.createDataFrame(entries, "memory_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    want = plain(entries, queries, mode)
+    asked = [(a, b) for a in (0, 3, 7, 90, 91) for b in (*range(0, 300, 7), 300, 301, 405)]
+    found = lexical.pair_scores(e, q, spark.createDataFrame(asked + asked[:9], "query_id long, memory_id long"), mode)
+    got = {(r.query_id, r.memory_id): r.score for r in found.collect()}
+    assert got.keys() == {(a, b) for a, b in asked if a in {x for x, _ in want}} and all(abs(got[x] - want.get(x, 0.0)) < 1e-9 for x in got)
+
+
+def test_ranked_in_small_parts(spark, data, monkeypatch):
+    monkeypatch.setattr(lexical, "RANKED", 3)
+    entries, queries = data
+    e, q = spark.createDataFrame(entries, "memory_id long, text string").repartition(40), spark.createDataFrame(queries, "query_id long, text string")
+    best = defaultdict(list)
+    for (a, b), s in plain(entries, queries, "ratio").items():
+        best[a].append((-round(s, 9), b))
+    top = lexical.scores(e, q, "ratio", 7)
+    assert "Coalesce" in top._jdf.queryExecution().executedPlan().toString()  # k rows per query from few tasks
+    assert sorted((r.query_id, r.rank, r.memory_id) for r in top.collect()) == sorted((a, k, b) for a, x in best.items() for k, (_, b) in enumerate(sorted(x)[:7]))
+
+
+def test_effective_takes_scores_of_its_pairs_only(spark, monkeypatch):
+    """All pairs of queries and entries that share a word never move."""
+    from engram import registry
+
+    whole = lexical.scores
+    monkeypatch.setattr(lexical, "scores", lambda e, q, mode="ratio", k=None: whole(e, q, mode, k) if k else pytest.fail("all pairs"))
+    assert registry.QUERIES["L21_effective"](spark, "/root/testdata/sf0.001").count()
