@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from ..sources.shared import written
 
 
+#: Members of a slice that are compared with a slice of visitors at once, and rows that go visiting at once.
+STRIP = 256
+
 #: Iterations are cut to tables in the shared folder.
 checkpointed = written
 
@@ -33,14 +36,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("memory_id").join(now, "memory_id", "left").select("memory_id", F.coalesce("cluster", "memory_id").alias("cluster"))
 
 
-def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, pivots: int = 256, block: int = 4096) -> DataFrame:
+def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, pivots: int = 256, block: int = 2048, forest: bool = False) -> DataFrame:
     """(a, b, sim), a < b: all pairs with a cosine of at least ``theta`` (above 0); ``k`` keeps each row's best ``k`` only.
 
     Exact and without a cross join. ``pivots`` rows, chosen by id hash, split the sphere into cells; a row is at home in the cell of
     its nearest pivot and visits another cell only if its angle to that pivot is within the cell's radius plus the
     angle of ``theta``, without which no member can be near enough. In a cell, slices of members meet slices of visitors,
-    ``block`` rows each at most on average, in a matrix product; a hot cell is dealt out into more slices. The driver
-    sees the pivots and one row of figures per cell. Rows without a direction (null, zero) have no pairs.
+    ``block`` rows each at most on average, in matrix products of ``STRIP`` members; a hot cell is dealt out into more slices. The driver
+    sees the pivots and one row of figures per cell. Rows without a direction (null, zero) have no pairs. With ``forest`` two slices hand on, instead of their
+    pairs, (smallest id, id) for each component that they make: the same components over all, at most a row for each row of a slice.
     """
     if theta <= 0:
         raise ValueError("theta must be above 0")
@@ -57,7 +61,7 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, piv
         return np.arccos(np.clip(_unit(x) @ centres.value.T, -1, 1))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(low, 4 * STRIP) for b in batches for low in range(0, b.num_rows, 4 * STRIP)):
             if b.num_rows:
                 d = angles(b)
                 home = d.argmin(axis=1)
@@ -71,7 +75,7 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, piv
         reach[r.cell], sizes[r.cell] = r.radius + np.arccos(min(theta, 1.0)) + 1e-6, r.n
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(low, STRIP) for b in batches for low in range(0, b.num_rows, STRIP)):  # a row may visit every cell
             if b.num_rows:
                 home = np.asarray(b.column("cell"))
                 goes = angles(b) <= reach
@@ -94,15 +98,25 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, piv
             e = np.asarray(t.column("embedding").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
             return e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-8)
 
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        ids, other = np.asarray(x.column("memory_id"), np.int64), np.asarray(y.column("memory_id"), np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if x.num_rows and y.num_rows:
-            sims = unit(x) @ unit(y).T
-            i, j = np.nonzero(sims >= theta)
-            a, b, own, sim = np.asarray(x.column("memory_id"))[i], np.asarray(y.column("memory_id"))[j], np.asarray(y.column("own"))[j], sims[i, j]
-            keep = np.where(own, a < b, a != b)  # members of one cell meet twice
-            a, b, sim = a[keep], b[keep], sim[keep]
-            found = [np.minimum(a, b), np.maximum(a, b), sim]
-        return pa.table(found, names=["a", "b", "sim"])
+            u, v, own = unit(x), unit(y).T, np.asarray(y.column("own"))
+            near = np.zeros((len(ids), len(other)) if forest else (0, 0), bool)
+            for low in range(0, len(ids), STRIP):
+                sims = u[low : low + STRIP] @ v
+                if forest:
+                    near[low : low + STRIP] = sims >= theta
+                    continue
+                i, j = np.nonzero(sims >= theta)
+                a, b, sim = ids[low + i], other[j], sims[i, j]
+                keep = np.where(own[j], a < b, a != b)  # members of one cell meet twice
+                a, b = a[keep], b[keep]
+                found.append((np.minimum(a, b), np.maximum(a, b), sim[keep]))
+            if forest:
+                a, b = _stars(near, ids, other)
+                found.append((a, b, np.full(len(a), theta)))
+        return pa.table(list(map(np.concatenate, zip(*found))), names=["a", "b", "sim"])
 
     key = ["cell", "i", "j"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "a long, b long, sim double")
@@ -113,6 +127,28 @@ def similar_pairs(vectors: DataFrame, theta: float, k: int | None = None, *, piv
     return both.withColumn("r", rank).filter(F.col("r") <= k).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim").dropDuplicates(["a", "b"])
 
 
+def _stars(near: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, id) of the components of the two-sided graph ``near``. Every row and column is looked at once, so a component of any shape takes
+    time by the matrix's size."""
+    row_seen, col_seen = ~near.any(axis=1), ~near.any(axis=0)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for seed in range(len(ids)):
+        if row_seen[seed]:
+            continue
+        rows, held = np.array([seed]), []
+        row_seen[seed] = True
+        while len(rows):
+            cols = np.flatnonzero(near[rows].any(axis=0) & ~col_seen)
+            col_seen[cols] = True
+            held += [ids[rows], other[cols]]
+            rows = np.flatnonzero(near[:, cols].any(axis=1) & ~row_seen)
+            row_seen[rows] = True
+        all_ids = np.unique(np.concatenate(held))
+        a.append(np.full(len(all_ids) - 1, all_ids[0]))
+        b.append(all_ids[1:])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def later_neighbours(pairs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """(a, b, sim, rank, ts): of ``pairs`` (a < b) each row's ``k`` nearest among those that follow it when entries go from newest to oldest
     (ties by id); a is the newer one, ts its time. Pairs of ids without an entry fall away."""
@@ -142,7 +178,7 @@ def clusters(vectors: DataFrame, theta: float) -> DataFrame:
     v = vectors.select("memory_id", "embedding")
     # A zero vector has no direction: its rows stay alone.
     nodes = v.filter("embedding is not null and exists(embedding, x -> x <> 0)").groupBy("embedding").agg(F.min("memory_id").alias("memory_id"))
-    named = components(nodes, similar_pairs(nodes, theta)).join(nodes, "memory_id").select("embedding", "cluster")
+    named = components(nodes, similar_pairs(nodes, theta, forest=True)).join(nodes, "memory_id").select("embedding", "cluster")
     return v.join(named, "embedding", "left").select("memory_id", F.coalesce("cluster", "memory_id").alias("cluster"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from engram.functions import vector as V
+from engram.operators import graph
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,59 @@ def test_nearest_hands_on_from_few_tasks(spark, rows):
     v = frame(spark, rows).repartition(64)
     q = v.filter("memory_id % 5 = 0").withColumnRenamed("memory_id", "query_id")
     assert "Coalesce" in V.nearest(v, q, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def components(edges, ids):
+    low = {i: i for i in ids}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        low[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("theta", [0.7, 0.93])
+def test_similar_pairs_in_strips(spark, rows, monkeypatch, theta):
+    monkeypatch.setattr(graph, "STRIP", 5)
+    sims = cosines(rows)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if sims[i, j] >= theta}
+    got = graph.similar_pairs(frame(spark, rows), theta, pivots=9, block=40).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+@pytest.mark.parametrize("theta", [0.7, 0.93])
+def test_clusters_hand_on_no_pairs(spark, rows, theta):
+    """In one cell, two slices hand on less than a row for each of their rows, however many pairs they hold; the components stay."""
+    v, sims = frame(spark, rows), cosines(rows)
+    want = components([(i, j) for i in range(600) for j in range(i + 1, 600) if sims[i, j] >= theta], range(600))
+    assert graph.similar_pairs(v, theta, pivots=1, forest=True).count() < 600
+    for pivots, block in ((1, 2048), (9, 40)):
+        forest = graph.similar_pairs(v, theta, pivots=pivots, block=block, forest=True).collect()
+        assert components([(r.a, r.b) for r in forest], range(600)) == want
+    assert {r.memory_id: r.cluster for r in graph.clusters(v, theta).collect()} == want
+
+
+def test_stars_of_a_chain():
+    near = np.eye(50, dtype=bool) | np.eye(50, k=1, dtype=bool)
+    near[:, 30] = near[30] = False
+    a, b = graph._stars(near, np.arange(100, 150), np.arange(200, 250))
+    found = components(zip(a.tolist(), b.tolist()), [*range(100, 150), *range(200, 250)])
+    assert {found[i] for i in range(100, 130)} == {100} and {found[i] for i in range(131, 150)} == {131} and found[130] == 130 and found[230] == 230
+
+
+def test_rows_visit_few_at_a_time(spark, rows, monkeypatch):
+    """A row may visit every cell, so a whole batch with its copies is never held."""
+    monkeypatch.setattr(graph, "STRIP", 5)
+    plain = graph._unit
+
+    def small(x):
+        assert len(x) <= 20
+        return plain(x)
+
+    monkeypatch.setattr(graph, "_unit", small)
+    assert graph.similar_pairs(frame(spark, rows).coalesce(1), 0.93, pivots=9).count()
