@@ -173,9 +173,12 @@ found as (select query_id, memory_id from s2 join m on m.l1 = s2.l1 and m.l2 = s
 FOUND_SIM = f"fs as (select f.query_id, f.memory_id, round({COS}, 9) as sim from found f join embeddings a on a.vec_id = f.query_id join embeddings b on b.vec_id = f.memory_id)"
 
 
+def branches(spark, d):
+    return vectors(spark, d).select("memory_id", F.col("label").alias("l1"), (F.col("memory_id") % 4).alias("l2"), "embedding")
+
+
 def route(spark, d):
-    members = vectors(spark, d).select("memory_id", F.col("label").alias("l1"), (F.col("memory_id") % 4).alias("l2"), "embedding")
-    return tree.navigate(members, query_vectors(spark, d))
+    return tree.navigate(branches(spark, d), query_vectors(spark, d))
 
 
 @query("E15_tree_route", f"with {TREE} select * from found", entries=False)
@@ -185,7 +188,8 @@ def tree_route(spark, d):
 
 @query("L16_tree", f"with {TREE}, {FOUND_SIM} select query_id, memory_id from (select *, row_number() over (partition by query_id order by sim desc, memory_id) as k from fs) where k <= 5", entries=False)
 def tree_collector(spark, d):
-    return tree.collected(route(spark, d), query_vectors(spark, d), 5).select("query_id", "memory_id")
+    m, q = branches(spark, d), query_vectors(spark, d)
+    return tree.best(m, tree.leaves(m, q), q, 5).select("query_id", "memory_id")
 
 
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\s+'), lambda x: regexp_full_match(x, '\p{{L}}+') and not list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x)))"
@@ -194,10 +198,10 @@ WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\s+'), la
 @query("L17_needles", f"with {TREE}, {FOUND_SIM}, w as (select query_id, memory_id, sim, len(list_intersect({WORDS.format(t='x.text')}, {WORDS.format(t='y.text')})) as shared from fs join documents x on x.doc_id = query_id join documents y on y.doc_id = memory_id) select query_id, memory_id, shared::integer as shared from (select *, row_number() over (partition by query_id order by shared desc, sim desc, memory_id) as k from w) where k <= 5", entries=False)
 def needle_collector(spark, d):
     """Members that share most needle words with the query first; needle words are found once per entry."""
-    words = entries(spark, d).select("memory_id", F.array_distinct(T.needle_words(F.col("text"))).alias("ws"))
-    met = route(spark, d).join(words, "memory_id").join(words.select(F.col("memory_id").alias("query_id"), F.col("ws").alias("asked")), "query_id")
-    found = met.select("query_id", "memory_id", "embedding", F.size(F.array_intersect("ws", "asked")).alias("shared"))
-    return tree.collected(found, query_vectors(spark, d), 5, F.col("shared")).select("query_id", "memory_id", "shared")
+    words = entries(spark, d).select("memory_id", F.array_distinct(T.needle_words(F.col("text"))).alias("words"))
+    m, q = branches(spark, d), query_vectors(spark, d)
+    asked = q.join(words.withColumnRenamed("memory_id", "query_id"), "query_id")
+    return tree.best(m.join(words, "memory_id"), tree.leaves(m, q), asked, 5).select("query_id", "memory_id", "shared")
 
 
 @query("F13_turn_recall", f"with t as ({BEST}), g as (select a.vec_id as query_id, b.vec_id as memory_id from embeddings a join embeddings b on b.vec_id between a.vec_id and a.vec_id + 3 where a.vec_id % 50 = 0) select g.query_id, round(count(t.memory_id) / count(*), 6)::double as recall, count(t.memory_id) > 0 as hit from g left join (select * from t where r <= 10) t on t.query_id = g.query_id and t.memory_id = g.memory_id group by g.query_id", entries=False)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from engram.functions import vector as V
-from engram.operators import graph
+from engram.operators import graph, tree
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +122,39 @@ def test_rows_visit_few_at_a_time(spark, rows, monkeypatch):
 
     monkeypatch.setattr(graph, "_unit", small)
     assert graph.similar_pairs(frame(spark, rows).coalesce(1), 0.93, pivots=9).count()
+
+
+@pytest.mark.parametrize("sizes", [(4096, 500_000, 1024, 256, 4096), (7, 60, 30, 3, 4)])
+def test_tree_best_hands_on_k_rows(spark, rows, monkeypatch, sizes):
+    """The collector against plain counts; no row is made for a query and a member."""
+    for name, n in zip(("SHARED", "WORDS", "ROWS", "STEP", "WIDE"), sizes, strict=True):
+        monkeypatch.setattr(tree, name, n)
+    sims = np.round(cosines(rows), 6)
+    words = {i: None if i % 41 == 5 else [f"w{j}" for j in range(12) if (i * 7 + j * j) % 5 < 2 and j % (i % 4 + 1) == 0] for i, *_ in rows}
+    members = spark.createDataFrame([(i, i % 3, i % 4, v, words[i]) for i, v, _ in rows], "memory_id long, l1 long, l2 long, embedding array<float>, words array<string>")
+    q = members.filter("memory_id % 20 = 5").select(members.memory_id.alias("query_id"), "embedding", "words")
+    found = spark.createDataFrame([(i, a, (i // 20 + a) % 4) for i in range(5, 600, 20) for a in (0, 2)], "query_id long, l1 long, l2 long")
+    out = tree.best(members, found, q, 6)
+    assert "l1" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.shared, r.memory_id, r.sim))
+    for i in range(5, 600, 20):
+        inside = [m for m, *_ in rows if m % 3 in (0, 2) and m % 4 == (i // 20 + m % 3) % 4]
+        shared = {m: None if words[i] is None or words[m] is None else len(set(words[i]) & set(words[m])) for m in inside}
+        key = lambda m: (-(shared[m] if shared[m] is not None else -1), -sims[i, m])
+        want = sorted(inside, key=lambda m: (*key(m), m))[:6]
+        assert [x[0] for x in sorted(got[i], key=lambda x: -1 if x[0] is None else x[0], reverse=True)] == [shared[m] for m in want]
+        assert np.allclose(sorted(x[2] for x in got[i]), sorted(sims[i, m] for m in want), atol=1e-5)
+
+
+def test_best_match_compares_few_patterns(spark, monkeypatch):
+    from engram.operators import hopfield
+
+    monkeypatch.setattr(hopfield, "ROWS", 10)
+    x = np.where(np.random.default_rng(5).standard_normal((300, 6)) > 0, 1, -1)
+    p = spark.createDataFrame([(299 - i, [int(c) for c in r]) for i, r in enumerate(x)], "memory_id long, code array<int>").coalesce(1)
+    got = hopfield.best_match(p, p.filter("memory_id % 9 = 0").withColumnRenamed("memory_id", "query_id")).collect()
+    for r in got:
+        equal = [299 - i for i in range(300) if (x[i] == x[299 - r.query_id]).all()]
+        assert (r.memory_id, r.overlap) == (min(equal), 1.0)
