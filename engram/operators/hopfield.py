@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .recall import top
 
 
+#: Patterns that a task compares with a block of states at once.
+ROWS = 1024
+
+
 def signs(embedding: Column) -> Column:
     """1 or -1 per dimension; zero counts as -1."""
     return F.transform(embedding, lambda x: F.when(x > 0, 1).otherwise(-1))
@@ -47,9 +51,7 @@ def _each(patterns: DataFrame, states: DataFrame, block: int, schema: str, visit
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, places, codes = shared.value
             carried: dict = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
                 p = np.asarray(b.column("code").flatten(), float).reshape(b.num_rows, -1)
                 ids, at = (np.asarray(b.column(c), np.int64) for c in ("memory_id", "compartment"))
                 for c in np.unique(at):
@@ -98,8 +100,10 @@ def best_match(patterns: DataFrame, states: DataFrame, block: int = 1024) -> Dat
     """(query_id, compartment, memory_id, overlap): each state's most similar pattern of its compartment, ties to the smallest id."""
 
     def visit(p, ids, s, carried):
+        order = np.argsort(ids, kind="stable")
+        p, ids = p[order], ids[order]
         m = p @ s.T / p.shape[1]
-        first = np.lexsort((np.broadcast_to(ids[:, None], m.shape), -m), axis=0)[0]
+        first = m.argmax(axis=0)  # of equal ones the smallest id
         best, who = m[first, np.arange(len(s))], ids[first]
         if carried is None:
             return best, who
