@@ -103,14 +103,16 @@ def has_credential(t: Column) -> Column:
 
 def redacted(t: Column) -> Column:
     """struct(text, hits): patterns, then marks, replaced."""
-    hits = F.lit(0)
+    whole, hits = t, F.lit(0)
     for pattern in (*CREDENTIAL_PATTERNS, LONG_TOKEN):
         hits = hits + F.regexp_count(t, F.lit(pattern))
         t = F.regexp_replace(t, pattern, "[REDACTED]")
     for mark in CREDENTIAL_MARKS:
         hits = hits + F.regexp_count(t, F.lit(mark))
         t = F.replace(t, F.lit(mark), F.lit("[REDACTED]"))
-    return F.struct(t.alias("text"), hits.cast("long").alias("hits"))
+    # The chain names its text once for each step, so it is only gone through where there is anything to find.
+    none = F.struct(whole.alias("text"), F.when(whole.isNotNull(), F.lit(0)).cast("long").alias("hits"))
+    return F.when(has_credential(whole), F.struct(t.alias("text"), hits.cast("long").alias("hits"))).otherwise(none)
 
 
 def app_slug(v: Column) -> Column:

@@ -120,8 +120,9 @@ def code_novelty(spark, d):
 @query("J15_unique_codes", f", c as (select memory_id, {HASHED.format(t=TOKENS.replace('(text)', '''(coalesce(text, ''))'''))}::varchar as code from e) select memory_id, memory_id = min(memory_id) over (partition by code) as is_new from c")
 def unique_codes(spark, d):
     """Every write takes an id; a code is stored once, by its first write. The minimum is found by partial aggregation."""
-    c = embedded(entries(spark, d), "memory_id")
-    return c.groupBy("dims").agg(F.min("memory_id").alias("first")).join(c, "dims").select("memory_id", (F.col("memory_id") == F.col("first")).alias("is_new"))
+    code = lenient.embed_bits(F.array_sort(T.tokens(F.coalesce("text", F.lit("")))))
+    c = graph.checkpointed(entries(spark, d).select("memory_id", code.alias("code")))  # codes are made once, for both sides
+    return c.groupBy("code").agg(F.min("memory_id").alias("first")).join(c, "code").select("memory_id", (F.col("memory_id") == F.col("first")).alias("is_new"))
 
 
 # Filters, joins, ranks.

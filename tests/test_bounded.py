@@ -158,3 +158,35 @@ def test_best_match_compares_few_patterns(spark, monkeypatch):
     for r in got:
         equal = [299 - i for i in range(300) if (x[i] == x[299 - r.query_id]).all()]
         assert (r.memory_id, r.overlap) == (min(equal), 1.0)
+
+
+def test_redaction_looks_first(spark):
+    """Texts without a credential skip the chain of replacements; results stay."""
+    from pyspark.sql import functions as F
+
+    from engram.functions import text as T
+
+    texts = [None, "", "plain words", "a key sk-ant-abc and ghp_x", "rc-" + "0a" * 20, "x" * 45 + " is my token", "x" * 45 + " is long"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", T.redacted(F.col("text")).alias("r"))
+    assert "CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: (r.r.text, r.r.hits) for r in df.collect()}
+    assert [got[i] for i in range(7)] == [(None, None), ("", 0), ("plain words", 0), ("a key [REDACTED]abc and [REDACTED]x", 2), ("[REDACTED]", 1), ("[REDACTED] is my token", 1), (texts[6], 0)]
+
+
+def test_codes_as_bits(spark):
+    from pyspark.sql import functions as F
+
+    from engram.functions import lenient
+    from engram.operators.ingest import hash_embedding
+
+    lists = [["alpha", "beta"], [], ["beta"], [f"w{i}" for i in range(90)]]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i long, w array<string>").select("i", lenient.embed_bits(F.col("w")).alias("b"))
+    for r in df.collect():
+        assert np.array_equal(np.unpackbits(np.frombuffer(bytes(r.b), np.uint8)), hash_embedding(lists[r.i]) > 0)
+
+
+def test_unique_codes_makes_codes_once(spark):
+    from engram import registry
+
+    plan = registry.QUERIES["J15_unique_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan  # the join reads codes that are there
