@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ CUT_MARKS = ("。", "！", "？", ".", "!", "?", "；", ";")
 CJK = "一-鿿"
 #: Inside a character class: marks that end a sentence, marks that a long sentence is packed at, and blanks of any script.
 ENDS, COMMAS = "。！？；!?", "，,、：:"
+PLAIN_COMMAS = "".join(filter(str.isascii, COMMAS))
 BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same blanks, one by one.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def tokens(t: Column) -> Column:
@@ -70,25 +75,36 @@ def folded(x: Column) -> Column:
 def chunks(t: Column, least: int = 10, most: int = 120) -> Column:
     """Sentences; long ones repacked at commas; a short piece joins the piece before unless that one is finished.
 
-    Linear in the text: a long sentence is packed by one pattern (the longest head of at most ``most`` characters that ends at a
-    comma, else the whole head up to its comma), and whether a piece joins depends only on its length and the last character before.
+    Linear in the text: sentences end by a line break put after each mark, a long sentence is packed by one pattern (the longest head of at most ``most``
+    characters that ends at a comma, else the whole head up to its comma; no part of it goes back over what it has passed, but for the comma), and whether a
+    piece joins depends only on its length and the last character before.
     """
-    sentences = F.filter(F.transform(F.regexp_extract_all(t, F.lit(f"[^{ENDS}\n]*[{ENDS}\n]|[^{ENDS}\n]+"), F.lit(0)), _strip), lambda x: x != "")
-    packs = F.lit(rf"(?s).{{1,{most}}}\z|.{{0,{most - 1}}}[{COMMAS}]|[^{COMMAS}]*[{COMMAS}]|[^{COMMAS}]+")
-    repacked = F.flatten(F.transform(sentences, lambda p: F.when(F.length(p) > most, F.regexp_extract_all(F.regexp_replace(p, f"([{COMMAS}])[{BLANK}]+", "$1"), packs, F.lit(0))).otherwise(F.array(p))))
+    lines = functools.reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit(mark + "\n")), ENDS, t)
+    sentences = F.filter(F.transform(F.split(lines, "\n"), _strip), lambda x: x != "")
+
+    def packed(p: Column, commas: str) -> Column:
+        packs = rf"(?s).{{1,{most}}}+\z|.{{0,{most - 1}}}[{commas}]|[^{commas}]*+[{commas}]|[^{commas}]++"
+        return F.regexp_extract_all(F.regexp_replace(p, f"([{commas}])[{BLANK}]+", "$1"), F.lit(packs), F.lit(0))
+
+    def repack(p: Column) -> Column:
+        # A class of ASCII commas alone is one look-up for a character, the whole class five.
+        plain, others = (functools.reduce(Column.__or__, (F.contains(p, F.lit(c)) for c in COMMAS if c.isascii() == ascii_)) for ascii_ in (True, False))
+        return F.when(F.length(p) <= most, F.array(p)).when(others, packed(p, COMMAS)).when(plain, packed(p, PLAIN_COMMAS)).otherwise(F.array(p))
+
+    repacked = F.flatten(F.transform(sentences, repack))
     # An array of one gives the pieces a name, so that they are found once and not wherever they are used.
     return F.flatten(F.transform(F.array(repacked), lambda p: _joined(p, least)))
 
 
 def _joined(p: Column, least: int) -> Column:
     joins = lambda x, i: (i > 0) & (F.length(x) < least) & ~F.get(p, i - 1).rlike(rf"[{ENDS}…]\z")
-    starts = F.filter(F.transform(p, lambda x, i: F.when(~joins(x, i), i)), lambda i: i.isNotNull())
-    found = F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: F.array_join(F.slice(p, a + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - a), "")))
-    return F.filter(F.transform(F.flatten(found), _strip), lambda x: x != "")
+    # No piece holds a line break, so one marks where a piece starts anew: joining and splitting are linear, slices would copy all pieces for each.
+    whole = F.array_join(F.transform(p, lambda x, i: F.when(joins(x, i), x).otherwise(F.concat(F.lit("\n"), x))), "")
+    return F.filter(F.transform(F.split(whole, "\n"), _strip), lambda x: x != "")
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def has_credential(t: Column) -> Column:
