@@ -1,9 +1,14 @@
-"""Scalar text functions as Column builders: tokenising, gates, keys, labels, routing. All stay in the JVM."""
+"""Scalar text functions as Column builders: tokenising, gates, keys, labels, routing. All but ``hash_code`` stay in the JVM."""
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,9 @@ BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same blanks, one by one.
 BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
+#: Counts that a task of ``hash_code`` holds at once, and words whose hashes it keeps.
+CELLS, WORDS = 1 << 20, 200_000
+
 
 def tokens(t: Column) -> Column:
     """Distinct lowered ASCII words of two characters or more, and adjacent CJK character pairs."""
@@ -40,15 +48,47 @@ def tokens(t: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+class _Places(dict):
+    """A number for each word, in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 def hash_code(rows: DataFrame, id_col: str, text_col: str, bits: int = 4096, hashes: int = 3, keep: int = 204) -> DataFrame:
     """(id, code): bits of the words' hashes, those met most often, ascending; ties at the last place all stay. Only bits that were met
-    count, so a short text has a short code. Texts without a word have no row."""
-    words = rows.select(F.col(id_col), F.explode(F.split(F.lower(text_col), f"[{BLANK}]+")).alias("_w")).filter("_w <> ''")
-    digest = lambda i: F.conv(F.right(F.md5(F.concat("_w", F.lit(f"_{i}"))), F.lit(8)), 16, 10).cast("long")
-    met = words.select(id_col, F.explode(F.array(*[digest(i) % bits for i in range(hashes)])).alias("_b"))
-    counts = met.groupBy(id_col, "_b").agg(F.count(F.lit(1)).alias("_n")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_n", "_b")), False).alias("_c"))
-    least = F.element_at("_c", F.least(F.lit(keep), F.size("_c")))["_n"]
-    return counts.select(id_col, F.array_sort(F.transform(F.filter("_c", lambda x: x["_n"] >= least), lambda x: x["_b"])).alias("code"))
+    count, so a short text has a short code. Texts without a word have no row; texts of one id count as one.
+
+    Counted where the texts lie, some texts at a time in one table of counts, and a word is hashed once for a task: no row is made for a word.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+    low = rows.select(id_col, F.lower(text_col).alias("_t")).filter("_t is not null")
+    if low.groupBy(id_col).count().filter("count > 1").take(1):
+        low = low.groupBy(id_col).agg(F.array_join(F.collect_list("_t"), " ").alias("_t"))
+    at_once = max(1, CELLS // bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, table = _Places(), np.zeros((0, hashes), np.int64)
+        for b in (b.slice(i, at_once) for b in batches for i in range(0, b.num_rows, at_once)):
+            words, ends = [], []
+            for t in b.column(1).to_pylist():
+                words += t.split()  # at blanks of any script, as BLANK
+                ends.append(len(words))
+            word = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            new = [[int.from_bytes(hashlib.md5(f"{w}_{h}".encode()).digest()[-4:], "big") % bits for h in range(hashes)] for w in itertools.islice(places, len(table), None)]
+            table = np.concatenate([table, np.array(new, np.int64).reshape(-1, hashes)])
+            cells = np.repeat(np.arange(b.num_rows), np.diff(ends, prepend=0))[:, None] * bits + table[word]
+            if len(places) > WORDS:
+                places, table = _Places(), table[:0]
+            met = np.bincount(cells.ravel(), minlength=b.num_rows * bits).reshape(-1, bits)
+            least = np.partition(met, -min(keep, bits), axis=1)[:, -min(keep, bits), None]
+            row, bit = np.nonzero(met >= np.maximum(least, 1))
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            code = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), code], names=[id_col, "code"]).filter(pa.array(np.diff(ends) > 0))
+
+    return low.mapInArrow(run, f"`{id_col}` {kind}, code array<long>")
 
 
 def is_junk(t: Column) -> Column:
