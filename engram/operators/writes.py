@@ -44,15 +44,20 @@ class Embedder:
         self.dims: dict[str, tuple] = {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        v = np.zeros(DIMS)
-        for w in words:
-            at = self.dims.get(w)
-            if at is None:
-                d = hashlib.md5(w.encode()).digest()
-                at = self.dims[w] = tuple(int.from_bytes(d[4 * i : 4 * i + 4], "little") % DIMS for i in range(3))
-            for i in at:
-                v[i] += 1
-        return v / (np.linalg.norm(v) + 1e-9)
+        return self.block([words])[0]
+
+    def block(self, texts: list[list[str]]) -> np.ndarray:
+        """One row for each text; counts are whole numbers, so their order doesn't matter."""
+        hit: list[int] = []
+        for i, words in enumerate(texts):
+            for w in words:
+                at = self.dims.get(w)
+                if at is None:
+                    d = hashlib.md5(w.encode()).digest()
+                    at = self.dims[w] = tuple(int.from_bytes(d[4 * i : 4 * i + 4], "little") % DIMS for i in range(3))
+                hit += (i * DIMS + at[0], i * DIMS + at[1], i * DIMS + at[2])
+        v = np.bincount(np.array(hit, np.int64), minlength=len(texts) * DIMS).reshape(-1, DIMS).astype(float)
+        return v / (np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-9)
 
 
 class Scope:
@@ -171,14 +176,16 @@ class Scope:
         """One outcome (action, memory_id, novelty) for each chunk, in order."""
         for low in range(0, len(chunks), BLOCK):
             block = chunks[low : low + BLOCK]
-            vectors = np.stack([self.embed(c["tokens"]) for c in block])
+            vectors = self.embed.block([c["tokens"] for c in block])
             n = len(self.rows)
             sims = np.where(self.live[:n, None], np.round(self.matrix[:n] @ vectors.T, 9), -np.inf)
             fresh: dict[int, int] = {}  # rows that are new or rewritten since, and their places in ``now``
-            now, there = np.zeros((len(block), DIMS)), np.zeros(len(block), bool)
+            # The vector of such a row is one of the block's, so its similarities to the chunks are known: a row of ``alike``, or nothing where it is no longer live.
+            alike = np.round(vectors @ vectors.T, 9)
+            now, source = np.full((len(block), len(block)), -np.inf), np.zeros(len(block), np.int64)
             numbers = np.zeros(len(block), np.int64)
             for j, c in enumerate(block):
-                best, sim = self._nearest(sims[:, j], now, there, numbers, len(fresh), vectors[j]) if not c["force_new"] else (None, 0.0)
+                best, sim = self._nearest(sims[:, j], now[: len(fresh), j], numbers) if not c["force_new"] else (None, 0.0)
                 if best is not None and c["state_key"]:
                     best, sim = None, -1.0
                 changed = None
@@ -210,7 +217,7 @@ class Scope:
                             self.rows[i].update(superseded_by=row["memory_id"], valid_to=made)
                             self.live[i] = False
                             if i in fresh:
-                                there[fresh[i]] = False
+                                now[fresh[i]] = -np.inf
                             if i < n:
                                 sims[i] = -np.inf
                         self.keyed[c["state_key"]] = [changed]
@@ -221,24 +228,24 @@ class Scope:
                     if changed < n:
                         sims[changed] = -np.inf
                     at = fresh.setdefault(changed, len(fresh))
-                    now[at], there[at], numbers[at] = vectors[j], True, changed
+                    now[at], source[at], numbers[at] = alike[j], j, changed
                 yield {"action": action, "memory_id": row["memory_id"], "novelty": 1 - sim}
             for i, at in fresh.items():
-                self.matrix[i] = now[at]
+                self.matrix[i] = vectors[source[at]]
 
     @staticmethod
-    def _nearest(old: np.ndarray, now: np.ndarray, there: np.ndarray, numbers: np.ndarray, m: int, e: np.ndarray) -> tuple[int | None, float]:
-        """The live row of the highest similarity, of equal ones the earliest, and that similarity."""
+    def _nearest(old: np.ndarray, now: np.ndarray, numbers: np.ndarray) -> tuple[int | None, float]:
+        """The live row of the highest similarity, of equal ones the earliest, and that similarity. ``old``: by place; ``now``: those of ``numbers``."""
         best, sim = None, -np.inf
         if len(old):
             best = int(old.argmax())
             sim = float(old[best])
-        if there[:m].any():
-            near = np.where(there[:m], np.round(now[:m] @ e, 9), -np.inf)
-            top = float(near.max())
-            first = int(numbers[:m][near == top].min())
-            if top > sim or (top == sim and (best is None or first < best)):
-                best, sim = first, top
+        if len(now):
+            top = float(now.max())
+            if top >= sim and top > -np.inf:
+                first = int(numbers[: len(now)][now == top].min())
+                if top > sim or first < best:
+                    best, sim = first, top
         return (None, 0.0) if sim == -np.inf else (best, sim)
 
 

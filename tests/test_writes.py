@@ -246,3 +246,16 @@ def test_log_as_a_table(spark):
     assert [(r.memory_id, r.superseded_by, r.evidence_ids) for r in library.orderBy("memory_id").collect()] == [(1, None, []), (2, None, [1])]
     more, after = writes.replay(spark.createDataFrame([(1, 9, "forget", 1)], "scope long, seq long, op string, memory_id long"), library)
     assert [(r.memory_id, r.evidence_ids) for r in after.collect()] == [(2, [])] and more.first().ok
+
+
+def test_a_block_is_embedded_at_once(monkeypatch):
+    """One embedding for a block of chunks, and the rows it changes are compared by the block's own similarities."""
+    calls = []
+    plain = writes.Embedder.block
+    monkeypatch.setattr(writes.Embedder, "block", lambda self, texts: calls.append(len(texts)) or plain(self, texts))
+    words = [[f"w{i % 7}", f"w{i % 11}", "same"] for i in range(300)]
+    chunks = [{"text": " ".join(w) + " of some length", "tokens": sorted(set(w)), "response": "", "tags": [], "source": "auto", "ts": float(i), "timestamp": None, "force_new": i % 13 == 0, "compartment": None, "state_key": None, "state_value": None} for i, w in enumerate(words)]
+    done = list(writes.Scope([], writes.Embedder()).write(chunks))
+    assert calls == [128, 128, 44] and len(done) == 300
+    monkeypatch.setattr(writes, "BLOCK", 1)
+    assert done == list(writes.Scope([], writes.Embedder()).write(chunks))
