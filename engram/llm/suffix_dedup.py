@@ -6,7 +6,7 @@ that its repeats depend on. Suffixes don't travel one by one: those whose next 1
 
 1. ``repeated``: 40-byte strings at anchors that occur once can't be in a repeated string; their suffixes go. A batch's own
    repeats are known at once and don't meet in one place, so a frequent string arrives as one row for each batch.
-2. ``stretches``: the text of the suffixes that are left. Equal stretches in one document are removed there, but for the first.
+2. ``stretches``: the text of the suffixes that are left. Of equal stretches in a batch of documents only the first travels.
 3. ``sort_bucket``: sampled splitters range-partition the stretches by their leading tokens (16 bytes from the anchor on), then by document and place,
    so a frequent string is split over as many buckets as it fills. Each bucket is sorted by a multikey quicksort, 8 bytes a step: every
    part that is still undecided is divided by its next 8 bytes, parts of one are done. Stretches first, then the suffixes of those that differ.
@@ -186,8 +186,8 @@ def repeated(docs: DataFrame, span: int, core: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, wanted: DataFrame, span: int, core: int) -> DataFrame:
-    """(lead, key, spot, bytes) of the suffixes at wanted anchors, spot being start x 2^31 + anchor's distance; lead null: spot is start x 2^31 +
-    length of a run of bytes that the same document has before. ``wanted``: (key, hash)."""
+    """(key, spot, bytes) of the suffixes at wanted anchors, spot being start x 2^31 + anchor's distance; bytes null: spot is start x 2^31 +
+    length of a run of bytes that starts earlier in the same batch of documents, so that it need not travel. ``wanted``: (key, hash)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,23 +206,23 @@ def stretches(docs: DataFrame, wanted: DataFrame, span: int, core: int) -> DataF
                 number[order] = np.cumsum(edge)
                 ask = number[len(hashes) :]
                 pick = np.flatnonzero(np.isin(ask, number[: len(hashes)]))
-                first, n, anchor, doc, number = first[pick], n[pick], anchor[pick], doc[pick], ask[pick]
-                _, inverse, count = np.unique(number, return_inverse=True, return_counts=True)
-                twice = np.flatnonzero(count[inverse] > 1) if len(number) else np.zeros(0, np.int64)
+                first, n, anchor, doc = first[pick], n[pick], anchor[pick], doc[pick]
+                _, inverse, count = np.unique(h[pick], return_inverse=True, return_counts=True)
+                twice = np.flatnonzero(count[inverse] > 1) if len(pick) else np.zeros(0, np.int64)
+                twice = twice[np.lexsort((first[twice], part.column("key").to_numpy()[doc[twice]]))]
                 raw, again, seen = data.tobytes(), np.zeros(len(first), bool), set()
-                for i in twice.tolist():  # strings that this document has more than once
+                for i in twice.tolist():  # strings that start earlier in these documents
                     s = int(first[i])
-                    what = (int(doc[i]), int(anchor[i]) - s, raw[s : s + int(n[i]) + span - 1])
+                    what = (int(anchor[i]) - s, raw[s : s + int(n[i]) + span - 1])
                     again[i] = what in seen
                     seen.add(what)
                 key, local = part.column("key").to_numpy()[doc], first - at[doc]
-                lead = [None if x else raw[a : a + min(LEAD, core)] for a, x in zip(anchor.tolist(), again.tolist(), strict=True)]
                 text = [None if x else raw[s : s + m + span - 1] for s, m, x in zip(first.tolist(), n.tolist(), again.tolist(), strict=True)]
                 spot = (local << 31) + np.where(again, n + span - 1, anchor - first)
-                yield _batch(lead=pa.array(lead, pa.binary()), key=key, spot=spot, bytes=pa.array(text, pa.binary()))
+                yield _batch(key=key, spot=spot, bytes=pa.array(text, pa.binary()))
 
     asked = wanted.groupBy("key").agg(F.collect_list("hash").alias("hashes"))
-    return docs.join(asked, "key").select("key", "text", "hashes").mapInArrow(run, "lead binary, key long, spot long, bytes binary")
+    return docs.join(asked, "key").select("key", "text", "hashes").mapInArrow(run, "key long, spot long, bytes binary")
 
 
 def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
@@ -233,20 +233,20 @@ def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for b in batches:
-            known = b.column(0).is_null()
+            known = b.column(2).is_null()
             if known.true_count:
                 own = b.filter(known)
-                spot = own.column(2).to_numpy()
-                yield _runs(own.column(1).to_numpy(), spot >> 31, (spot >> 31) + (spot & 0x7FFFFFFF))
+                spot = own.column(1).to_numpy()
+                yield _runs(own.column(0).to_numpy(), spot >> 31, (spot >> 31) + (spot & 0x7FFFFFFF))
             if known.false_count:
-                got.append(b.filter(b.column(0).is_valid()))
+                got.append(b.filter(b.column(2).is_valid()))
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
         got.clear()
-        lead, key, spot = t.column(0), t.column(1).to_numpy(), t.column(2).to_numpy()
+        key, spot = t.column(0).to_numpy(), t.column(1).to_numpy()
         start, anchor = spot >> 31, spot & 0x7FFFFFFF
-        data, at = _bytes_of(t.column(3))
+        data, at = _bytes_of(t.column(2))
         place, size = at[:-1], np.diff(at)
         n = size - (span - 1)
         eight = _unaligned(data, ">u8")
@@ -258,10 +258,14 @@ def sort_bucket(rows: DataFrame, span: int, core: int) -> DataFrame:
         keep[gone] = False
         rest = np.flatnonzero(keep)
         del keep, shape
-        leads = lead.take(pa.array(rest)).dictionary_encode()
-        names = leads.dictionary.to_pylist()
-        edges = {min(names), max(names)}
-        outer = np.array([x in edges for x in names])[leads.indices.to_numpy(zero_copy_only=False)]
+        width = min(LEAD, core)
+        leads, outer = data[(place[rest] + anchor[rest])[:, None] + np.arange(width)], np.zeros(len(rest), bool)
+        for edge in (np.min, np.max):  # the first and the last leading string of the bucket
+            left = np.arange(len(rest))
+            for c in range(width):
+                left = left[leads[left, c] == edge(leads[left, c])]
+            outer[left] = True
+        del leads
         # Those whose anchor's string is that of another stretch, or may be in another bucket.
         index, group = equal_runs(eight, place[rest] + anchor[rest], core, np.zeros(len(rest), np.int64))
         code = np.where(outer, len(rest) + 1 + np.arange(len(rest)), 0)
@@ -316,8 +320,9 @@ def removable(docs: DataFrame, span: int = SPAN, core: int = CORE, bucket: int =
     """(key, start, stop): runs of bytes, overlapping or not, of documents (key, text) that repeat what starts earlier."""
     wanted = cut(repeated(docs, span, core))
     rows = stretches(docs, wanted, span, core)
+    lead = F.substring("bytes", F.col("spot").bitwiseAND(0x7FFFFFFF).cast("int") + 1, F.lit(min(LEAD, core)))  # not a column: it is in the bytes
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // bucket))
-    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, "lead", "key", "spot"), span, core))
+    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, lead, "key", "spot"), span, core))
     runs = sorted_.filter("suffix is null").select("key", "start", "stop")
     return runs.unionByName(across(sorted_.filter("suffix is not null"), span))
 

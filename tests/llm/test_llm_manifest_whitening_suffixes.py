@@ -290,3 +290,13 @@ def test_deviations_are_exact(rows):
     n, sums = len(rows), [sum(c) for c in zip(*rows, strict=True)]
     want = [sum((n * a - s) ** 2 for a, s in zip(r, sums, strict=True)) for r in rows]
     assert embedding_whitening.deviations(np.array(rows, np.int64), n, sums) == [w if w < 2**63 else None for w in want]
+
+
+def test_equal_stretches_of_a_batch_travel_once(spark):
+    """Of equal stretches in a batch of documents only the first carries its bytes; the leading string isn't carried beside them."""
+    text = " ".join(str(x) for x in np.random.default_rng(4).integers(0, 10**6, 60))
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "key long, text string").coalesce(1)
+    wanted = suffix_dedup.repeated(docs, 100, 40)
+    rows = suffix_dedup.stretches(docs, wanted.coalesce(1), 100, 40)
+    assert rows.columns == ["key", "spot", "bytes"]
+    assert {r.key for r in rows.coalesce(1).collect() if r.bytes is not None} == {0}
