@@ -318,11 +318,11 @@ def across(firsts: DataFrame, span: int) -> DataFrame:
 
 def removable(docs: DataFrame, span: int = SPAN, core: int = CORE, bucket: int = BUCKET) -> DataFrame:
     """(key, start, stop): runs of bytes, overlapping or not, of documents (key, text) that repeat what starts earlier."""
-    wanted = cut(repeated(docs, span, core))
+    wanted = cut(repeated(docs, span, core), spent=True)
     rows = stretches(docs, wanted, span, core)
     lead = F.substring("bytes", F.col("spot").bitwiseAND(0x7FFFFFFF).cast("int") + 1, F.lit(min(LEAD, core)))  # not a column: it is in the bytes
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // bucket))
-    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, lead, "key", "spot"), span, core))
+    sorted_ = cut(sort_bucket(rows.repartitionByRange(buckets, lead, "key", "spot"), span, core), spent=True)
     runs = sorted_.filter("suffix is null").select("key", "start", "stop")
     return runs.unionByName(across(sorted_.filter("suffix is not null"), span))
 
@@ -347,7 +347,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = rows.select("id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.monotonically_increasing_id().alias("copy"))
     placed = told.repartitionByRange(buckets, "id", "digest", "copy").sortWithinPartitions("id", "digest", "copy")
-    return cut(placed.select(F.monotonically_increasing_id().alias("key"), "id", "text"))
+    return cut(placed.select(F.monotonically_increasing_id().alias("key"), "id", "text"), spent=True)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, span: int = SPAN, core: int = CORE, bucket: int = BUCKET) -> DataFrame:

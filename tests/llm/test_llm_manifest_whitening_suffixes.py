@@ -1,6 +1,7 @@
 """Suffix dedup, Merkle manifest and whitening against brute force, with nulls, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.llm import embedding_whitening, merkle_manifest, suffix_dedup
-from engram.llm.common import _bytes_of
+from engram.llm.common import SPENT, _bytes_of
 
 # Suffix dedup
 
@@ -300,3 +301,17 @@ def test_equal_stretches_of_a_batch_travel_once(spark):
     rows = suffix_dedup.stretches(docs, wanted.coalesce(1), 100, 40)
     assert rows.columns == ["key", "spot", "bytes"]
     assert {r.key for r in rows.coalesce(1).collect() if r.bytes is not None} == {0}
+
+
+def test_spent_shuffles_of_suffixes_go_at_once(spark):
+    """What was shuffled for a written table doesn't lie beside what the next steps shuffle, and the session's setting is as it was."""
+    rng = np.random.default_rng(5)
+    said = [" ".join(str(x) for x in rng.integers(0, 10**6, 600)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, said[i % 50]) for i in range(60)], "key long, text string").repartition(3)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {p: os.path.getsize(p) for p in disk.getAllFiles().mkString("\n").split("\n") if os.path.basename(p).startswith("shuffle_")}
+    before, set_before = left(), spark.conf.get(SPENT)
+    runs = suffix_dedup.removable(docs)
+    assert sum(n for name, n in left().items() if name not in before) < 20_000  # of 240 kB of text
+    assert spark.conf.get(SPENT) == set_before
+    assert {r.key for r in runs.collect()} == set(range(50, 60))
