@@ -97,3 +97,15 @@ def test_effective_takes_scores_of_its_pairs_only(spark, monkeypatch):
     whole = lexical.scores
     monkeypatch.setattr(lexical, "scores", lambda e, q, mode="ratio", k=None: whole(e, q, mode, k) if k else pytest.fail("all pairs"))
     assert registry.QUERIES["L21_effective"](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("mode", ["ratio", "sum", "known"])
+def test_all_pairs_come_by_score(spark, data, monkeypatch, mode):
+    """Equal numbers lie side by side in a block's pairs, none is lost between the parts that are handed on, and no part is large."""
+    monkeypatch.setattr(lexical, "PAIRS", 700)
+    entries, queries = data
+    e, q = spark.createDataFrame(entries, "memory_id long, text string").coalesce(1), spark.createDataFrame(queries, "query_id long, text string")
+    got = [(r.query_id, r.memory_id, r.score) for r in lexical.scores(e, q, mode).collect()]
+    want = plain(entries, queries, mode)
+    assert len(got) == len(want) > 2000 and {x[:2] for x in got} == want.keys() and all(abs(s - want[a, b]) < 1e-9 for a, b, s in got)
+    assert [round(s, 6) for *_, s in got] == sorted(round(s, 6) for *_, s in got)
