@@ -29,3 +29,23 @@ def test_pii_fits_on_every_candidate(spark, monkeypatch, held):
     got = pii.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got.threshold == want.threshold and min(got.threshold) < 1
     assert all((a == z).all() for s, t in zip(got.trees.trees, want.trees.trees, strict=True) for a, z in zip(s, t, strict=True))
+
+
+def test_join_leaves_no_tables_of_postings_and_texts_behind(spark):
+    """Of the tables that the join writes, those of prefixes, postings, signatures and shingles go when they were read."""
+    import os
+
+    from engram.llm import jaccard_join
+    from engram.llm.common import new_folder
+
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 400)] for _ in range(300)]
+    texts += [t[:390] + ["other"] for t in texts[:100]] + texts[:50]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    tables = os.path.dirname(new_folder(spark)).removeprefix("file:")
+    held = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    out = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    new = [f"{d}/{f}" for x in set(os.listdir(tables)) - held for d, _, files in os.walk(f"{tables}/{x}") for f in files]
+    assert sum(map(os.path.getsize, new)) < 150_000
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert got == {i: i if i < 300 else i - 300 if i < 400 else i - 400 for i in range(450)}
