@@ -153,7 +153,7 @@ def gold(spark, d):
 @query("F5_known_idf", f", {ASKED}, k as (select query_id, sum(idf) as known from w where df is not null group by query_id) select query_id, memory_id, round(least(raw / known, 1.0), 6) as score from lex join k using (query_id)")
 def known_idf(spark, d):
     e = entries(spark, d)
-    return lexical.scores(e, asked(e), "known").withColumn("score", F.round("score", 6))
+    return lexical.scores(e, asked(e), "known", digits=6)
 
 
 @query("F12_code_recall", f"with t as ({BEST}), h as (select a.vec_id as query_id, b.vec_id as memory_id, row_number() over (partition by a.vec_id order by {CODE}, b.vec_id) as r from embeddings a, embeddings b where a.vec_id % 50 = 0) select t.query_id, round(count(h.r) / count(*), 6)::double as fidelity from t left join (select * from h where r <= 5) h on h.query_id = t.query_id and h.memory_id = t.memory_id where t.r <= 5 group by t.query_id", entries=False)
